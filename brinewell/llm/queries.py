@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from brinewell.llm.decontam import OP2_ORACLE, op2_decontamination
 from brinewell.llm.hosts import op3_url_filter
+from brinewell.llm.mixing import op5_mixing
 from brinewell.llm.quality import op4_quality
 from brinewell.llm.sharding import op8_sharding
 from brinewell.llm.tokens import op6_tokens
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op6_tokens": op6_tokens,
     "op8_sharding": op8_sharding,
 }
