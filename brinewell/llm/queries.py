@@ -5,6 +5,7 @@ from __future__ import annotations
 from brinewell.llm.decontam import OP2_ORACLE, op2_decontamination
 from brinewell.llm.hosts import op3_url_filter
 from brinewell.llm.mixing import op5_mixing
+from brinewell.llm.neardup import op10_neardup
 from brinewell.llm.quality import op4_quality
 from brinewell.llm.sharding import op8_sharding
 from brinewell.llm.tokens import op6_tokens
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_tokens": op6_tokens,
     "op8_sharding": op8_sharding,
+    "op10_neardup": op10_neardup,
 }
 
 ORACLES: dict[str, str] = {
