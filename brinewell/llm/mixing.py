@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinewell.llm.common import row_hash, without, words
+from brinewell.llm.common import let, row_hash, without, words
 from brinewell.llm.permute import permuted
 from brinewell.session import cut
 
@@ -156,6 +156,22 @@ def mix(
     return out.withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_taken", "_source"), taken
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix's texts in the columns of docs: a row for each document and epoch that takes from it.
+
+    A document that an epoch takes whole keeps its text; of one that lies in
+    blocks taken and not taken, the words taken are joined by single blanks.
+    Nulls, repeated rows, empty tables and clashing names: see ``mix``.
+    """
+    mixed, taken = mix(docs, text=text, **options)
+    parts = taken.groupBy("_k1", "_k2", "_copy", "epoch").agg(F.sum("_words").alias("_got"), F.array_sort(F.collect_list(F.struct("_at", "_words"))).alias("_parts"))
+    j = mixed.join(parts, ["_k1", "_k2", "_copy"])
+    t = F.col(f"`{text}`")
+    some = F.array_join(let(words(t), lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["_at"] + 1).cast("int"), p["_words"].cast("int"))))), " ")
+    new = F.when(F.col("_got") == F.col("size"), t).otherwise(some)
+    return j.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns if c in j.columns])
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, with its source's size and target."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
