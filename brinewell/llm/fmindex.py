@@ -44,31 +44,65 @@ class Wavelet:
 
 
 class FMIndex:
-    """Backward search in a sequence of symbols (0 is the separator), for patterns of up to `reach` symbols."""
+    """Matching statistics, up to the threshold `width`, of stretches of a sequence of symbols against the whole of it."""
 
-    def __init__(self, text: np.ndarray, reach: int):
+    def __init__(self, text: np.ndarray, width: int):
         n = len(text)
-        rank, k = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while k < reach:  # suffixes sorted by their first `reach` symbols at least: enough for such patterns
-            nxt = np.concatenate([rank[k:], np.full(min(k, n), -1, np.int64)])[:n]
-            key = rank * (n + 2) + nxt + 1
-            order = np.argsort(key, kind="stable")
-            s = key[order]
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-            rank, k = new, 2 * k
-        self.suffix = order
-        last = text[order - 1]  # the symbol before each suffix
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1 if n else 1))])
-        self.wavelet = Wavelet(last, max(1, int(text.max() if n else 0).bit_length()))
-        self.n = n
-
-    def search(self, text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each start: the range of suffixes that begin with text[start : start + length]."""
+        bits = max(1, int(text.max() if n else 0).bit_length())
+        k = max(1, min(3, width // 2, 63 // bits))  # symbols that one sort key holds
+        rank = np.zeros(n, np.int64)
+        for i in range(k):
+            rank = rank << bits | self._ahead(text, i, 0)
+        order, rank = self._ranked(rank)
+        while k < width:  # suffixes sorted by `width` symbols at least: enough for patterns of that length
+            half, step = rank, k
+            order, rank = self._ranked(rank * (n + 2) + self._ahead(rank, k, -1) + 1)
+            k *= 2
+        # groups of suffixes that share width - 1 symbols: two overlapping stretches of `step` cover them
+        gap = width - 1 - step
+        both = half * (n + 2) + self._ahead(half, gap, -1) + 1 if gap >= 0 else half
+        s = both[order]
+        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+        group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        self.wide_lo, self.wide_hi = edge[:-1][group], edge[1:][group]
+        self.suffix, self.n = order, n
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
+        self.wavelet = Wavelet(text[order - 1], bits)
+
+    @staticmethod
+    def _ahead(values: np.ndarray, k: int, beyond: int) -> np.ndarray:
+        return np.concatenate([values[k:], np.full(min(k, len(values)), beyond, np.int64)]) if k else values
+
+    @staticmethod
+    def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        s = key[order]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
+        return order, rank
+
+    def _left(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run, a, b = self.wavelet.rank(symbol, lo, hi)
+        return self.first[symbol] + a - run, self.first[symbol] + b - run
+
+    def windows(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """For the `size` windows of `width` symbols from each start, one stretch after another: the first suffix of each window's range.
+
+        A stretch's last window is searched backward from its end; each window
+        before it drops the last symbol, by widening the range to the suffixes
+        that share width - 1 symbols, and takes one more on the left.
+        """
+        out = np.empty(int(size.sum()), np.int64)
+        at = np.cumsum(size) - 1
+        by_size = np.argsort(-size, kind="stable")
+        start, size, at = start[by_size], size[by_size], at[by_size]
         lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
-        for t in range(length - 1, -1, -1):
-            c = text[start + t]
-            run, a, b = self.wavelet.rank(c, lo, hi)
-            lo, hi = self.first[c] + a - run, self.first[c] + b - run
-        return lo, hi
+        for t in range(width - 1, -1, -1):
+            lo, hi = self._left(text[start + size - 1 + t], lo, hi)
+        out[at] = lo
+        for back in range(1, int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -back, "left"))  # stretches of more than `back` windows
+            lo, hi = self.wide_lo[lo[:live]], self.wide_hi[lo[:live]]
+            lo, hi = self._left(text[start[:live] + size[:live] - 1 - back], lo, hi)
+            out[at[:live] - back] = lo
+        return out

@@ -17,8 +17,8 @@ from brinewell.session import cut
 POSITIONS, TREES, LEVELS, TWICE = 64, 16, 3, 0.25
 #: Nodes of up to so many sets are compared exhaustively; rounds of two more levels for larger ones; pivots of a large node.
 SMALL, ROUNDS, PIVOTS = 64, 4, 3
-#: Equal minwise positions from which a pair is a candidate (five deviations below 0.8), and from which a set is near its pivot.
-MAYBE, NEAR = 35, 58
+#: Equal minwise positions from which a pair is a candidate: five deviations below 0.8.
+MAYBE = 35
 _U = np.uint64
 
 
@@ -129,105 +129,135 @@ def _deeper(rows: DataFrame) -> DataFrame:
 
 
 def _compare_small(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of sets that share a node of SMALL sets at most; rows: path, rep, minima."""
+    """Candidates (a, b, same) among the sets of a node, of SMALL sets at most, that no links join yet; rows: path, rep, minima, root."""
 
-    def pairs(path: np.ndarray, reps: np.ndarray, minima: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
+    def pairs(path: np.ndarray, reps: np.ndarray, minima: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+        a, b, same = [], [], []
         for d in range(1, SMALL):
-            i = np.flatnonzero(path[:-d] == path[d:]) if d < len(path) else np.empty(0, np.int64)
-            if not len(i):
-                break
+            i = np.flatnonzero((path[:-d] == path[d:]) & (roots[:-d] != roots[d:])) if d < len(path) else np.empty(0, np.int64)
             for part in np.array_split(i, len(i) // 50_000 + 1):
-                ok = part[(minima[part] == minima[part + d]).sum(1) >= MAYBE]
-                a.append(reps[ok])
-                b.append(reps[ok + d])
-        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-        keep = x != y
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], names=["a", "b"])
+                n = (minima[part] == minima[part + d]).sum(1)
+                ok = n >= MAYBE
+                a.append(reps[part[ok]])
+                b.append(reps[part[ok] + d])
+                same.append(n[ok].astype(np.int32))
+        x, y, n = np.concatenate(a), np.concatenate(b), np.concatenate(same)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n)], names=["a", "b", "same"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
             if not b.num_rows:
                 continue
-            now = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))
-            path, reps, minima = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            at = int(np.searchsorted(path, path[-1]))  # the last node may go on in the next batch
-            yield pairs(path[:at], reps[:at], minima[:at])
-            rest = path[at:], reps[at:], minima[at:]
+            now = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), b.column(3).to_numpy()
+            now = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
+            at = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
+            yield pairs(*[x[:at] for x in now])
+            rest = tuple(x[at:] for x in now)
         if rest is not None:
             yield pairs(*rest)
 
-    ordered = rows.select("path", "rep", "minima").repartition("path").sortWithinPartitions("path")
-    return ordered.mapInArrow(run, "a long, b long")
+    ordered = rows.select("path", "rep", "minima", "root").repartition("path").sortWithinPartitions("path")
+    return ordered.mapInArrow(run, "a long, b long, same int")
 
 
 def _alike(df: DataFrame) -> DataFrame:
-    """path, rep, other, same: equal positions of minima and m; df: path, rep, minima, other, m."""
+    """Candidates (a, b, same) among rep and other of rows rep, minima, other, m."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                same = (_matrix(b.column(2)) == _matrix(b.column(4))).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(same.astype(np.int32))], names=["path", "rep", "other", "same"])
+                same = (_matrix(b.column(1)) == _matrix(b.column(3))).sum(1)
+                x, y = b.column(0).to_numpy(), b.column(2).to_numpy()
+                ok = (same >= MAYBE) & (x != y)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.array(same[ok].astype(np.int32))], names=["a", "b", "same"])
 
-    return df.select("path", "rep", "minima", "other", "m").mapInArrow(run, "path long, rep long, other long, same int")
+    return df.select("rep", "minima", "other", "m").mapInArrow(run, "a long, b long, same int")
 
 
-def _as_pairs(df: DataFrame) -> DataFrame:
-    return df.where((F.col("same") >= MAYBE) & (F.col("rep") != F.col("other"))).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-
-
-def _large_round(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Candidates within large nodes, and the rows that branch on; rows: path, rep, minima.
-
-    Every set is compared with its node's pivots. One that is near a pivot is
-    settled by that link: whatever it is like joins it through the pivot or is
-    itself not near. Nodes where some set is between keep all their sets, others
-    only those unlike every pivot. In the last round what is left is compared
-    with its whole node, in blocks.
-    """
+def _against_pivots(rows: DataFrame) -> DataFrame:
+    """Candidates among the sets of large nodes and a few pivots of each, the least by as many hashes."""
     cols = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), "rep", "minima")).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = rows.groupBy("path").agg(*cols)
     pivots = pivots.select("path", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.rep").alias("other"), F.col(f"p{k}.minima").alias("m")) for k in range(PIVOTS)]))).alias("p"))
-    against = cut(_alike(rows.join(pivots.select("path", "p.other", "p.m"), "path")), "neardup-pivots")
-    state = against.groupBy("path", "rep").agg(F.max("same").alias("best"))
-    between = state.where((F.col("best") >= MAYBE) & (F.col("best") < NEAR)).select("path").distinct().withColumn("mixed", F.lit(True))
-    unlike = state.where(F.col("best") < NEAR).join(between, "path", "left").where("mixed OR best < " + str(MAYBE)).select("path", "rep", "best")
-    settled = state.where(F.col("best") >= NEAR).join(between, "path").select("path", "rep", "best")
-    rest = rows.join(unlike.unionByName(settled), ["path", "rep"])
-    rest = cut(rest.select("path", "rep", "minima", (F.col("best") < NEAR).alias("open")), "neardup-open")
-    if not last:
-        return _as_pairs(against), rest
-    blocks = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(64)))
-    whole = blocks.select("path", F.col("rep").alias("other"), F.col("minima").alias("m"), "block")
-    ones = blocks.where("open").select("path", "rep", "minima", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long").alias("block"))
-    return _as_pairs(against).unionByName(_as_pairs(_alike(ones.join(whole, ["path", "block"])))), None
-
-
-def candidate_pairs(classes: DataFrame, trees: int = TREES) -> DataFrame:
-    """Pairs (a, b), a < b, of representatives whose sets may be similar; classes: rep, minima."""
+    return _alike(rows.join(pivots.select("path", "p.other", "p.m"), "path"))
+
+
+def _whole_nodes(rows: DataFrame, blocks: int = 64) -> DataFrame:
+    """Candidates among the open sets of nodes and all their sets, in blocks: the exact way for nodes that never get small."""
+    all_rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
+    whole = all_rows.select("path", F.col("rep").alias("other"), F.col("minima").alias("m"), "block")
+    ones = rows.where("open").select("path", "rep", "minima", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    return _alike(ones.join(whole, ["path", "block"]))
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with `root`, the least set that links join rep to so far."""
+    if roots is None:
+        return rows.withColumn("root", F.col("rep"))
+    return rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+class _Links:
+    """The confirmed links so far, and the components that they make."""
+
+    def __init__(self, confirm):
+        self.confirm, self.edges, self.roots = confirm, None, None
+
+    def _add(self, pairs: DataFrame) -> None:
+        new = cut(self.confirm(pairs), "neardup-links")
+        self.edges = new if self.edges is None else self.edges.unionByName(new)
+        self.roots = components(self.edges)
+
+    def open(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets no links join yet."""
+        if self.roots is None:
+            return pairs
+        r = self.roots
+        j = pairs.join(r.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(r.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        return j.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same")
+
+    def take(self, pairs: DataFrame) -> None:
+        """Confirms candidates on the full sets: first the best of each set, then all others between what is still apart."""
+        todo = cut(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "neardup-candidates")
+        todo = cut(self.open(todo), "neardup-candidates") if self.roots is not None else todo
+        best = todo.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
+        self._add(best)
+        rest = cut(self.open(todo.join(best, ["a", "b"], "left_anti")), "neardup-candidates")
+        if not rest.isEmpty():
+            self._add(rest.select("a", "b"))
+
+
+def join_sets(classes: DataFrame, confirm, trees: int = TREES) -> DataFrame | None:
+    """(node, root) of the sets in links, by chosen-path trees; classes: rep, minima; confirm: pairs -> the linked ones.
+
+    Nodes of up to SMALL sets are compared exhaustively, larger ones with their
+    pivots first. Large nodes whose sets the confirmed links make one component
+    are done: what else they hold adds nothing. The others branch on, two levels
+    a round; in the last round the sets outside a node's main component are
+    compared with its whole.
+    """
+    minima = classes.select("rep", "minima")
     sizes = _nodes(classes, trees).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    nodes = cut(_nodes(classes, trees).join(sizes, "path").join(classes.select("rep", "minima"), "rep").select("path", "rep", "minima", "n"), "neardup-nodes")
-    found = [cut(_compare_small(nodes.where(F.col("n") <= SMALL)), "neardup-small")]
-    large = nodes.where(F.col("n") > SMALL)
+    nodes = cut(_nodes(classes, trees).join(sizes, "path").join(minima, "rep").select("path", "rep", "minima", "n"), "neardup-nodes")
+    links = _Links(confirm)
     for k in range(ROUNDS):
-        if large.isEmpty():
+        rooted = _with_roots(nodes, links.roots)
+        large = nodes.where(F.col("n") > SMALL).select("path", "rep", "minima")
+        links.take(_compare_small(rooted.where(F.col("n") <= SMALL)).unionByName(_against_pivots(large)))
+        rooted = _with_roots(large, links.roots)
+        parts = rooted.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        rest = rooted.join(parts.select("path", F.col("main.root").alias("main")), "path")
+        rest = cut(rest.select("path", "rep", "minima", (F.col("root") != F.col("main")).alias("open")), "neardup-open")
+        if rest.isEmpty():
             break
-        pairs, rest = _large_round(large, k == ROUNDS - 1)
-        found.append(cut(pairs.distinct(), "neardup-large"))
-        if rest is None or rest.isEmpty():
+        if k == ROUNDS - 1:
+            links.take(_whole_nodes(rest))
             break
         below = _deeper(rest)
         sizes = below.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        nodes = below.join(sizes, "path").join(classes.select("rep", "minima"), "rep")
-        nodes = cut(nodes.select("path", "rep", "minima", "n"), "neardup-nodes")
-        found.append(cut(_compare_small(nodes.where(F.col("n") <= SMALL)), "neardup-small"))
-        large = nodes.where(F.col("n") > SMALL)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+        nodes = cut(below.join(sizes, "path").join(minima, "rep").select("path", "rep", "minima", "n"), "neardup-nodes")
+    return links.roots
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
@@ -294,8 +324,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     rows = cut(signatures(docs, n, text, doc_id), "neardup-sets")
     classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("minima").alias("minima"))
     classes = cut(classes, "neardup-classes")
-    links = confirmed(cut(candidate_pairs(classes, trees), "neardup-candidates"), docs, n, percent, text, doc_id)
-    roots = components(links)
+    roots = join_sets(classes, lambda pairs: confirmed(pairs, docs, n, percent, text, doc_id), trees)
     named = classes.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

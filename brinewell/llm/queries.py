@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from brinewell.llm.decontam import OP2_ORACLE, op2_decontamination
 from brinewell.llm.hosts import op3_url_filter
+from brinewell.llm.lmscore import op1_lm_score
 from brinewell.llm.mixing import op5_mixing
 from brinewell.llm.neardup import op10_neardup
 from brinewell.llm.quality import op4_quality
@@ -12,6 +13,7 @@ from brinewell.llm.substrings import op9_substrings
 from brinewell.llm.tokens import op6_tokens
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,

@@ -16,8 +16,8 @@ from brinewell.llm.common import without
 from brinewell.llm.fmindex import FMIndex
 from brinewell.session import cut
 
-#: Words of the n-grams that route windows, words in an index shard, and windows searched at once.
-GRAM, SHARD_WORDS, AT_ONCE = 5, 400_000, 100_000
+#: Words of the n-grams that route windows, words in an index shard, segments searched at once, and most windows of a segment.
+GRAM, SHARD_WORDS, AT_ONCE, LONGEST = 5, 400_000, 20_000, 64
 #: A routing value with more segments than both limits goes by whole windows instead; so at most 1 / HOT_SHARE values are broadcast.
 HOT_LEAST, HOT_SHARE = 2_000, 1 / 50_000
 _U = np.uint64
@@ -54,7 +54,7 @@ def _least(v: np.ndarray, span: int) -> np.ndarray:
 
 
 def segments(h: np.ndarray, width: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share the least n-gram hash among their words: key, content hash, first window, windows, weight.
+    """Runs of windows that share the least n-gram hash among their words: key, content hash, first window, windows, weight, hot.
 
     Equal windows have equal keys, wherever they stand. weight is 2 where the
     run may hold a window twice. Runs with a key in `hot` fall apart into
@@ -63,11 +63,15 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray) -> tuple[np.ndarray, ..
     n = len(h) - width + 1
     if n < 1:
         z = np.empty(0, np.int64)
-        return z.view(_U), z.view(_U), z, z, z
+        return z.view(_U), z.view(_U), z, z, z, z.astype(bool)
     span = width - GRAM + 1
     g = _grams(h, GRAM)
     least = _least(g, span)
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    if (long := np.diff(np.concatenate([start, [n]])) > LONGEST).any():
+        ends = np.concatenate([start[1:], [n]])
+        start = np.concatenate([start, *[np.arange(a + LONGEST, b, LONGEST) for a, b in zip(start[long], ends[long], strict=True)]])
+        start.sort()
     size = np.diff(np.concatenate([start, [n]]))
     key = least[start]
     # content hash: a polynomial of window hashes, moved to the run's start
@@ -85,6 +89,7 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray) -> tuple[np.ndarray, ..
     same = (g[np.minimum(at, len(g) - 1)] == key[:, None]) & (np.arange(2 * span)[None, :] < reach[:, None])
     weight = np.minimum(same.sum(1), 2)
     weight[size > span] = 2
+    whole = np.zeros(len(key), bool)
     if len(hot):
         is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
         if is_hot.any():
@@ -96,7 +101,8 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray) -> tuple[np.ndarray, ..
             content = np.concatenate([content[k], second])
             start, size = np.concatenate([start[k], w]), np.concatenate([size[k], np.ones(len(w), np.int64)])
             weight = np.concatenate([weight[k], np.ones(len(w), np.int64)])
-    return key, content, start, size, weight
+            whole = np.concatenate([whole[k], np.ones(len(w), bool)])
+    return key, content, start, size, weight, whole
 
 
 def _order(doc_id: Column) -> Column:
@@ -131,12 +137,13 @@ def _occurrences(docs: DataFrame, width: int, hot) -> DataFrame:
                 found = [segments(word_hashes(t), width, hot.value) for t in part.column(2).to_pylist()]
                 row = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
                 key, content, start, size = (np.concatenate([f[i] for f in found]) for i in range(4))
+                hot_row = np.concatenate([f[5] for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(size.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32))],
-                    names=["key", "content", "size", "doc", "version", "start"],
+                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(size.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(hot_row)],
+                    names=["key", "content", "size", "doc", "version", "start", "hot"],
                 )
 
-    return docs.mapInArrow(run, "key long, content long, size int, doc long, version int, start int")
+    return docs.mapInArrow(run, "key long, content long, size int, doc long, version int, start int, hot boolean")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, width: int, shards: int) -> DataFrame:
@@ -185,16 +192,11 @@ def _first_starts(texts: DataFrame, width: int) -> DataFrame:
         order = np.lexsort((place_start, place_doc))
         ranks[order] = np.arange(len(flat))
         windows = np.flatnonzero(within < size[owner])
-        best = np.empty(len(windows), np.int64)
-        by_suffix = ranks[index.suffix]
-        for k in range(0, len(windows), AT_ONCE):
-            lo, hi = index.search(text, windows[k : k + AT_ONCE], width)
-            u, at = np.unique(lo, return_inverse=True)
-            stop = np.zeros(len(u), np.int64)
-            stop[at] = hi
-            edges = np.column_stack([u, stop]).ravel()
-            padded = np.append(by_suffix, np.iinfo(np.int64).max)
-            best[k : k + AT_ONCE] = np.minimum.reduceat(padded, edges)[::2][at]
+        lows = [index.windows(text, begin[k : k + AT_ONCE], size[k : k + AT_ONCE], width) for k in range(0, len(size), AT_ONCE)]
+        lo, at = np.unique(np.concatenate(lows), return_inverse=True)
+        # a range ends where the next one starts, or sooner at suffixes that begin no window: those have no place
+        by_suffix = np.where((within < size[owner])[index.suffix], ranks[index.suffix], np.iinfo(np.int64).max)
+        best = np.minimum.reduceat(by_suffix, lo)[at]
         first = order[best]
         first_doc, shift = place_doc[first], place_start[first] - within[windows]
         o = owner[windows]
@@ -224,9 +226,8 @@ def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
     most = max(HOT_LEAST, int(total * HOT_SHARE))
     hot_rows = [r["key"] for r in counts.where(F.col("w") > most).select("key").toLocalIterator()]  # total / most values at most
     hot = sc.broadcast(np.sort(np.array(hot_rows, np.int64).view(_U)))
-    if hot_rows:
-        counts = cut(_counts(docs, width, hot).where("w > 1"), "substrings-keys")
-    found = cut(_occurrences(docs, width, hot).join(counts.select("key"), "key", "left_semi"), "substrings-segments")
+    known = counts.select("key", F.lit(True).alias("twice"))
+    found = cut(_occurrences(docs, width, hot).join(known, "key", "left").where("hot OR twice").drop("hot", "twice"), "substrings-segments")
     classes = cut(found.groupBy("key", "content", "size").agg(F.min(F.struct("doc", "start", "version")).alias("at"), F.count(F.lit(1)).alias("n")), "substrings-classes")
     words = classes.agg(F.sum(F.col("size") + width)).first()[0] or 0
     texts = _texts(docs, classes, width, max(1, -(-int(words) // SHARD_WORDS)))
