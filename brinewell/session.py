@@ -16,12 +16,15 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Scratch folders of sessions that name none (tests), by application.
+_own: dict[str, str] = {}
 
-def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8, name: str = "brinewell") -> SparkSession:
+
+def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8, name: str = "brinewell", shared: str | None = None) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(name).config("spark.driver.memory", memory)
     b = b.config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.host", "127.0.0.1")
-    for k, v in DEFAULTS.items():
+    for k, v in (DEFAULTS | ({"spark.checkpoint.dir": shared} if shared else {})).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,11 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='brinewell-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/brinewell/{spark.sparkContext.applicationId}"
+        root = _own[app] = f"file://{tempfile.mkdtemp(prefix='brinewell-')}"
+    return f"{root.rstrip('/')}/brinewell/{app}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
