@@ -8,6 +8,7 @@ from brinewell.llm.lmscore import op1_lm_score
 from brinewell.llm.mixing import op5_mixing
 from brinewell.llm.neardup import op10_neardup
 from brinewell.llm.quality import op4_quality
+from brinewell.llm.secrets import op7_secrets
 from brinewell.llm.sharding import op8_sharding
 from brinewell.llm.substrings import op9_substrings
 from brinewell.llm.tokens import op6_tokens
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_tokens": op6_tokens,
+    "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
     "op9_substrings": op9_substrings,
     "op10_neardup": op10_neardup,
