@@ -28,8 +28,9 @@ def test_op1(spark, sf):
         assert r[:5] == want[d][:5]
         assert math.isclose(r[5], want[d][5], rel_tol=1e-9)
         assert r[6] < 0
-    if "testdata" in sf:
-        assert sum(r[6] for r in rows.values() if r[1]) > sum(r[5] for r in rows.values() if r[1])
+    if "testdata" in sf:  # held-out texts: far below 8 bits a byte, though trained on 170 texts
+        size = sum(len((t or "").encode()) for d, t in docs_of(spark, sf) if rows[d][1])
+        assert sum(-r[6] for r in rows.values() if r[1]) / math.log10(2) / size < 2.9
 
 
 def test_op2(spark, sf):
