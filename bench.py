@@ -1,0 +1,32 @@
+"""Headline queries, timed once each after one warm-up; one line of JSON."""
+
+import json
+import os
+import time
+
+from brinewell.plans import registry
+from brinewell.session import local_session
+
+SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+CPUS = os.environ.get("BENCH_CPUS", "8")
+HEADLINE = [
+    "events_after_linking", "event_link_anchored", "counterparty_spend", "recurring_charges", "entity_top_aliases", "sender_census_coverage",
+    "attachment_state", "interval_conflicts", "nearest_match", "thread_rollup", "activity_batches", "shrunk_rating", "upsert_latest",
+    "merge_columnwise", "incremental_equals_full", "rule_cascade", "domain_fields", "canonical_product", "fts_and_match", "fts_bm25", "content_copies",
+]
+
+
+def main() -> None:
+    spark = local_session(CPUS, "16g", int(CPUS), "brinewell-bench")
+    registry.QUERIES["spend_by_kind"](spark, SF).collect()
+    times = {}
+    for name in HEADLINE:
+        start = time.perf_counter()
+        registry.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+        times[name] = round(time.perf_counter() - start, 3)
+    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(os.path.basename(SF.rstrip("/")).removeprefix("sf") or 0)}))
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()

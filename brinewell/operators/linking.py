@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _anchors(window: int):
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def anchors(times: pd.Series) -> pd.Series:
         def walk(t: np.ndarray) -> list[int]:
             out, at = [], 0

@@ -4,22 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def ranked_share(groups: DataFrame, key: str, n: str, bins: int = 256) -> DataFrame:
+def ranked_share(groups: DataFrame, key: str, n: str) -> DataFrame:
     """groups (a row each) with rank, cum and coverage from the most frequent on; ties by key.
 
-    Groups are binned by the logarithm of their count, bins are summed first,
-    and the running sums go over one bin at a time, so no task sees all groups.
+    Groups are binned by their count (the rarest, which are most, also by a
+    stretch of their keys). Bins are summed first and the running sums go over
+    one bin at a time, so no task sees all groups; there are at most some
+    thousand bins.
     """
-    level = F.least(F.lit(bins - 1), F.floor(F.log2(F.greatest(F.col(n), F.lit(1)).cast("double")) * 4)).cast("int")
-    g = groups.withColumn("_bin", F.struct(level.alias("l"), F.when(F.col(n) <= 16, F.ascii(F.col(key).cast("string"))).otherwise(0).alias("c")))
+    count, low = F.col(n), 16
+    level = F.when(count <= low, count).otherwise(low + 1 + F.floor((F.log2(count.cast("double")) - 4) * 8)).cast("int")
+    if isinstance(groups.schema[key].dataType, T.NumericType):
+        ends = groups.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).withColumn("_one", F.lit(1))
+        g = groups.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one").withColumn("_at", F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0) * 128).cast("int")).drop("_one", "_lo", "_hi")
+    else:
+        g = groups.withColumn("_at", F.least(F.ascii(F.col(key).cast("string")), F.lit(255)))
+    g = g.withColumn("_bin", F.struct(level.alias("l"), F.when(count <= low, F.coalesce("_at", F.lit(-1))).otherwise(0).alias("c"))).drop("_at")
     per = g.groupBy("_bin").agg(F.sum(n).alias("_s"), F.count(F.lit(1)).alias("_k"))
     whole = Window.partitionBy(F.lit(1)).orderBy(F.col("_bin.l").desc(), F.col("_bin.c"))
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("_bin", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k0"), F.sum("_s").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    w = Window.partitionBy("_bin").orderBy(F.col(n).desc(), key)
-    j = g.join(F.broadcast(starts), "_bin")  # bins * 256 rows at most
+    w = Window.partitionBy("_bin").orderBy(count.desc(), key)
+    j = g.join(F.broadcast(starts), "_bin")
     cum = F.col("_s0") + F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = j.withColumn("rank", (F.col("_k0") + F.row_number().over(w)).cast("long")).withColumn("cum", cum.cast("long"))
     return out.withColumn("coverage", F.col("cum") / F.col("_total")).drop("_bin", "_s0", "_k0", "_total")

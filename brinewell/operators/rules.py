@@ -17,8 +17,8 @@ def first_template(messages: DataFrame, rules: DataFrame, id: str, sender: str)
     r = rules.withColumnsRenamed({"sender": "_sender"})
     j = messages.join(r, F.col(sender) == F.col("_sender"))
     text = F.coalesce(F.when(F.col("field") == "snippet", F.col("snippet")).otherwise(F.col("subject")), F.lit(""))
-    hit = j.where(text.rlike(F.col("pattern")))
-    value = F.when(F.col("value") == "$1", F.regexp_extract(text, F.concat(F.lit("(?:"), F.col("pattern"), F.lit(")")), 1)).otherwise(F.col("value"))
+    hit = j.where(F.regexp_like(text, F.col("pattern")))
+    value = F.when(F.col("value") == "$1", F.expr("regexp_extract(CASE WHEN field = 'snippet' THEN snippet ELSE subject END, pattern, 1)")).otherwise(F.col("value"))
     w = Window.partitionBy(id).orderBy("rule_order")
     return hit.withColumn("_value", value).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(id, F.col("rule_order").alias("rule"), "action", "kind", F.col("_value").alias("value"), "confidence")
 
