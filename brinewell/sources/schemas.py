@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MESSAGE = T.StructType.fromDDL("message_id STRING, thread_id STRING, internal_ts BIGINT, from_addr STRING, to_addrs STRING, cc_addrs STRING, reply_to STRING, subject STRING, snippet STRING, history_id BIGINT, labels ARRAY<STRING>, synced_at BIGINT, deleted_at BIGINT")
-OCCURRENCE = T.StructType.fromDDL("calendar_id STRING, instance_id STRING, series_event_id STRING, start_kind STRING, start_utc BIGINT, start_tz STRING, start_date DATE, end_utc BIGINT, end_tz STRING, end_date DATE, order_ts BIGINT, status STRING, is_override BOOLEAN, summary STRING, location STRING, transparency STRING, self_response_status STRING, synced_at BIGINT")
-TRANSACTION = T.StructType.fromDDL("entity_key STRING, entity_name STRING, counterparty STRING, date DATE, kind STRING, amount DOUBLE, currency STRING, ref_number STRING, message_id STRING, confidence DOUBLE, lane STRING, rule STRING, description STRING, link_key STRING, link_basis STRING, event_id BIGINT")
-LIST_EVENT = T.StructType.fromDDL("event_id BIGINT, occurred_at STRING, store STRING, item_name STRING, normalized_name STRING, unit STRING, quantity DOUBLE, action STRING, source_type STRING, actor STRING, trip_id BIGINT, note STRING, group_id BIGINT, raw_text STRING")
+#: Tables as DDL; Spark parses it wherever a schema is asked for.
+MESSAGE = "message_id STRING, thread_id STRING, internal_ts BIGINT, from_addr STRING, to_addrs STRING, cc_addrs STRING, reply_to STRING, subject STRING, snippet STRING, history_id BIGINT, labels ARRAY<STRING>, synced_at BIGINT, deleted_at BIGINT"
+OCCURRENCE = "calendar_id STRING, instance_id STRING, series_event_id STRING, start_kind STRING, start_utc BIGINT, start_tz STRING, start_date DATE, end_utc BIGINT, end_tz STRING, end_date DATE, order_ts BIGINT, status STRING, is_override BOOLEAN, summary STRING, location STRING, transparency STRING, self_response_status STRING, synced_at BIGINT"
+TRANSACTION = "entity_key STRING, entity_name STRING, counterparty STRING, date DATE, kind STRING, amount DOUBLE, currency STRING, ref_number STRING, message_id STRING, confidence DOUBLE, lane STRING, rule STRING, description STRING, link_key STRING, link_basis STRING, event_id BIGINT"
+LIST_EVENT = "event_id BIGINT, occurred_at STRING, store STRING, item_name STRING, normalized_name STRING, unit STRING, quantity DOUBLE, action STRING, source_type STRING, actor STRING, trip_id BIGINT, note STRING, group_id BIGINT, raw_text STRING"
 
 
 def evolved(df: DataFrame, schema: T.StructType, key: tuple[str, ...] = (), defaults: dict | None = None) -> DataFrame:
