@@ -30,11 +30,11 @@ CASES = "CASE WHEN regexp_matches(t, '(?i)license|licence|copyright') THEN 'lice
 
 def _classified(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    t = F.left(F.coalesce("text", F.lit("")), F.lit(4000))  # the rule reads the head of a document, as the reference's does
+    t = F.coalesce("text", F.lit(""))
     return d.select("doc_id", "source", "text", fx.first_rule(t, CLASSES).alias("doc_type")).withColumn("tier", F.coalesce(F.create_map(*[F.lit(x) for p in TIERS.items() for x in p])[F.col("doc_type")], F.lit(3)))
 
 
-TYPED = f"d AS (SELECT doc_id, source, text, {CASES} AS doc_type FROM (SELECT *, left(coalesce(text, ''), 4000) AS t FROM documents)), k AS (SELECT *, CASE doc_type WHEN 'personal' THEN 1 WHEN 'code' THEN 1 WHEN 'question' THEN 2 ELSE 3 END AS tier FROM d)"
+TYPED = f"d AS (SELECT doc_id, source, text, {CASES} AS doc_type FROM (SELECT *, coalesce(text, '') AS t FROM documents)), k AS (SELECT *, CASE doc_type WHEN 'personal' THEN 1 WHEN 'code' THEN 1 WHEN 'question' THEN 2 ELSE 3 END AS tier FROM d)"
 
 
 @query(f"WITH {TYPED} SELECT coalesce(doc_type, '') AS doc_type, tier, count(*) AS n, count(DISTINCT source) AS sources FROM k GROUP BY 1, 2")

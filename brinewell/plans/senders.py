@@ -9,19 +9,19 @@ from brinewell.plans.ledger import events
 from brinewell.plans.registry import query
 from brinewell.session import table
 
-RATIOS = """r AS (SELECT user_id, count(*) AS n, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END) AS promo, avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END) AS updates, avg(CASE WHEN event_type = 'signup' THEN 1.0 ELSE 0 END) AS personal,
-avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) AS social, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0 END) AS transact FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1)"""
+RATIOS = """r AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END) AS promo, avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END) AS updates, avg(CASE WHEN event_type = 'signup' THEN 1.0 ELSE 0 END) AS personal,
+avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) AS social, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0 END) AS transact FROM events GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {RATIOS} SELECT user_id, n, CASE WHEN user_id % 10 = 0 AND promo < 0.5 THEN 'human' WHEN personal > 0.5 AND n <= 20 AND user_id % 3 > 0 THEN 'human' WHEN promo > 0.6 THEN 'marketing' WHEN transact > 0.4 AND promo < 0.3 THEN 'service-transactional'
+@query(f"""WITH {RATIOS} SELECT user_id, day, n, CASE WHEN user_id % 10 = 0 AND promo < 0.5 THEN 'human' WHEN personal > 0.5 AND n <= 20 AND user_id % 3 > 0 THEN 'human' WHEN promo > 0.6 THEN 'marketing' WHEN transact > 0.4 AND promo < 0.3 THEN 'service-transactional'
 WHEN updates > 0.6 AND user_id % 3 = 0 THEN 'service-notification' WHEN social > 0.6 THEN 'service-notification' WHEN user_id % 3 = 0 THEN 'marketing' ELSE 'unknown' END AS class FROM r""")
 def sender_classes(spark, sf_dir):  # X-09, A-09, P-05
-    e = table(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz"))
+    e = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))  # a user's day stands for a sender
     share = {"view": "promo", "click": "updates", "signup": "personal", "error": "social", "purchase": "transact"}
-    r = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("event_type") == k).cast("double")).alias(v) for k, v in share.items()])
+    r = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("event_type") == k).cast("double")).alias(v) for k, v in share.items()])
     addr = F.concat(F.when(F.col("user_id") % 3 == 0, "news@").otherwise("ann@"), F.col("user_id").cast("string"), F.lit(".com"))
     c = census.sender_class(addr, *[F.col(x) for x in ("n", "promo", "updates", "personal", "social", "transact")], F.col("user_id") % 10 == 0)
-    return r.select("user_id", "n", c["class"].alias("class"))
+    return r.select("user_id", "day", "n", c["class"].alias("class"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'signup' THEN 4 WHEN 'purchase' THEN 2 WHEN 'error' THEN 0 ELSE 1 END + CASE WHEN event_id % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END AS score FROM events""")
