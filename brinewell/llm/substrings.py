@@ -22,6 +22,7 @@ GRAM, SHARD_WORDS, AT_ONCE, LONGEST = 5, 400_000, 20_000, 64
 HOT_LEAST, HOT_SHARE = 2_000, 1 / 50_000
 _U = np.uint64
 _LAST = 2**63 - 1
+_BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,12 +54,13 @@ def _least(v: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (span - have)], v[span - have :]) if span > have else v
 
 
-def segments(h: np.ndarray, width: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+def segments(h: np.ndarray, width: int, hot: np.ndarray, with_content: bool = True) -> tuple[np.ndarray, ...]:
     """Runs of windows that share the least n-gram hash among their words: key, content hash, first window, windows, weight, hot.
 
     Equal windows have equal keys, wherever they stand. weight is 2 where the
     run may hold a window twice. Runs with a key in `hot` fall apart into
-    windows that are keyed by their whole content.
+    windows that are keyed by their whole content. Without content and hot keys,
+    the content hashes are 0.
     """
     n = len(h) - width + 1
     if n < 1:
@@ -74,15 +76,15 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray) -> tuple[np.ndarray, ..
         start.sort()
     size = np.diff(np.concatenate([start, [n]]))
     key = least[start]
-    # content hash: a polynomial of window hashes, moved to the run's start
-    b, inverse = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-    windows = _mix(g[: n] ^ _mix(g[width - GRAM :][:n]))
-    for k in range(GRAM, width - GRAM, GRAM):
-        windows = _mix(windows) + g[k : k + n]
-    up = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, b, _U)]))
-    down = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, inverse, _U)]))
-    sums = np.concatenate([[_U(0)], np.cumsum(windows * up, dtype=_U)])
-    content = _mix((sums[start + size] - sums[start]) * down[start])
+    content = np.zeros(len(start), _U)
+    if with_content:  # a polynomial of window hashes, moved to the run's start
+        windows = _mix(g[: n] ^ _mix(g[width - GRAM :][:n]))
+        for k in range(GRAM, width - GRAM, GRAM):
+            windows = _mix(windows) + g[k : k + n]
+        up = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, _BASE, _U)]))
+        down = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, _INVERSE, _U)]))
+        sums = np.concatenate([[_U(0)], np.cumsum(windows * up, dtype=_U)])
+        content = _mix((sums[start + size] - sums[start]) * down[start])
     # the key stands twice among a run's n-grams: a window may repeat in it
     reach = np.minimum(size + span - 1, 2 * span)
     at = start[:, None] + np.arange(2 * span)[None, :]
@@ -117,7 +119,7 @@ def _counts(docs: DataFrame, width: int, hot) -> DataFrame:
             for k in range(0, b.num_rows, 500):
                 keys, weights = [], []
                 for t in b.column(2).slice(k, 500).to_pylist():
-                    s = segments(word_hashes(t), width, hot.value)
+                    s = segments(word_hashes(t), width, hot.value, False)
                     keys.append(s[0])
                     weights.append(s[4])
                 u, at = np.unique(np.concatenate(keys), return_inverse=True)
