@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brinewell.llm.common import without
@@ -15,8 +16,10 @@ from brinewell.session import cut
 
 #: Minwise positions; trees and levels of the join; the share of paths that pick a second position.
 POSITIONS, TREES, LEVELS, TWICE = 64, 16, 3, 0.25
-#: Nodes of up to so many sets are compared exhaustively; rounds of two more levels for larger ones; pivots of a large node.
-SMALL, ROUNDS, PIVOTS = 64, 4, 3
+#: Nodes of up to so many sets are compared exhaustively; rounds, of two more levels each, for larger ones.
+SMALL, ROUNDS = 64, 3
+#: Bits of each minimum in a sketch; up to so many candidate pairs, counted first, the ids of their documents are broadcast.
+SKETCH, BROADCAST_PAIRS = 4, 500_000
 #: Equal minwise positions from which a pair is a candidate: five deviations below 0.8.
 MAYBE = 35
 _U = np.uint64
@@ -74,8 +77,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, POSITIONS)
 
 
+def _sketch(minima: np.ndarray) -> list[pa.Array]:
+    """SKETCH 64-bit words of each set: bit p of word k is bit k of the minimum at position p."""
+    return [pa.array(np.packbits((minima >> np.uint32(k) & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()) for k in range(SKETCH)]
+
+
+def alike(a: str, b: str, percent: int) -> tuple[Column, Column]:
+    """(same, maybe) of two sets with sketches and sizes a.k0.., b.k0..: positions whose sketch bits agree, and whether the pair can be a link.
+
+    Equal minima have equal bits, so no pair with MAYBE equal positions is lost.
+    """
+    differ = F.col(f"{a}.k0").bitwiseXOR(F.col(f"{b}.k0"))
+    for k in range(1, SKETCH):
+        differ = differ.bitwiseOR(F.col(f"{a}.k{k}").bitwiseXOR(F.col(f"{b}.k{k}")))
+    same = F.lit(POSITIONS) - F.bit_count(differ)
+    low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    return same, (same >= MAYBE) & (100 * low >= percent * high)
+
+
 def signatures(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the set, null of an empty one) and minima of every document."""
+    """doc_id, n_shingles, set_key (128-bit hash of the set, null of an empty one), minima and sketch of every document."""
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +105,13 @@ def signatures(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
                 part = b.slice(k, 1000)
                 sets = [shingles(t, n) for t in part.column(1).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                minima: list[bytes | None] = [None] * len(sets)
+                minima = np.zeros((len(sets), POSITIONS), np.uint32)
                 if full:
-                    for i, m in zip(full, _minima([sets[i] for i in full]), strict=True):
-                        minima[i] = m.tobytes()
+                    minima[full] = _minima([sets[i] for i in full])
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.binary())], names=["doc_id", "n_shingles", "set_key", "minima"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([m.tobytes() for m in minima], pa.binary()), *_sketch(minima)], names=["doc_id", "n_shingles", "set_key", "minima", *[f"k{i}" for i in range(SKETCH)]])
 
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, minima binary")
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, minima binary, " + ", ".join(f"k{i} long" for i in range(SKETCH)))
 
 
 def _nodes(classes: DataFrame, trees: int) -> DataFrame:
@@ -128,74 +148,37 @@ def _deeper(rows: DataFrame) -> DataFrame:
     return rows.select("path", "rep", "minima").mapInArrow(run, "path long, rep long")
 
 
-def _compare_small(rows: DataFrame) -> DataFrame:
-    """Candidates (a, b, same) among the sets of a node, of SMALL sets at most, that no links join yet; rows: path, rep, minima, root."""
-
-    def pairs(path: np.ndarray, reps: np.ndarray, minima: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
-        a, b, same = [], [], []
-        for d in range(1, SMALL):
-            i = np.flatnonzero((path[:-d] == path[d:]) & (roots[:-d] != roots[d:])) if d < len(path) else np.empty(0, np.int64)
-            for part in np.array_split(i, len(i) // 50_000 + 1):
-                n = (minima[part] == minima[part + d]).sum(1)
-                ok = n >= MAYBE
-                a.append(reps[part[ok]])
-                b.append(reps[part[ok] + d])
-                same.append(n[ok].astype(np.int32))
-        x, y, n = np.concatenate(a), np.concatenate(b), np.concatenate(same)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n)], names=["a", "b", "same"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), b.column(3).to_numpy()
-            now = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            at = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
-            yield pairs(*[x[:at] for x in now])
-            rest = tuple(x[at:] for x in now)
-        if rest is not None:
-            yield pairs(*rest)
-
-    ordered = rows.select("path", "rep", "minima", "root").repartition("path").sortWithinPartitions("path")
-    return ordered.mapInArrow(run, "a long, b long, same int")
-
-
-def _alike(df: DataFrame) -> DataFrame:
-    """Candidates (a, b, same) among rep and other of rows rep, minima, other, m."""
+#: A set in the join: its sketch and size.
+_SET = ["size", *[f"k{i}" for i in range(SKETCH)]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                same = (_matrix(b.column(1)) == _matrix(b.column(3))).sum(1)
-                x, y = b.column(0).to_numpy(), b.column(2).to_numpy()
-                ok = (same >= MAYBE) & (x != y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.array(same[ok].astype(np.int32))], names=["a", "b", "same"])
 
-    return df.select("rep", "minima", "other", "m").mapInArrow(run, "a long, b long, same int")
+def _pairs(joined: DataFrame, same: Column) -> DataFrame:
+    """Candidates (a, b, same) of joined sets x and y."""
+    return joined.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), same.cast("int").alias("same"))
 
 
-def _against_pivots(rows: DataFrame) -> DataFrame:
-    """Candidates among the sets of large nodes and a few pivots of each, the least by as many hashes."""
-    cols = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), "rep", "minima")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = rows.groupBy("path").agg(*cols)
-    pivots = pivots.select("path", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.rep").alias("other"), F.col(f"p{k}.minima").alias("m")) for k in range(PIVOTS)]))).alias("p"))
-    return _alike(rows.join(pivots.select("path", "p.other", "p.m"), "path"))
+def _against_pivots(nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidates among the sets of every node and its pivot, the set with the least hash."""
+    pivots = nodes.groupBy("path").agg(F.min(F.struct(F.xxhash64("rep", "path").alias("h"), "rep", *_SET)).alias("p")).select("path", "p.rep", *[f"p.{c}" for c in _SET])
+    same, maybe = alike("x", "y", percent)
+    return _pairs(nodes.alias("x").join(pivots.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.rep") != F.col("y.rep")) & maybe), same)
 
 
-def _whole_nodes(rows: DataFrame, blocks: int = 64) -> DataFrame:
-    """Candidates among the open sets of nodes and all their sets, in blocks: the exact way for nodes that never get small."""
-    all_rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
-    whole = all_rows.select("path", F.col("rep").alias("other"), F.col("minima").alias("m"), "block")
-    ones = rows.where("open").select("path", "rep", "minima", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
-    return _alike(ones.join(whole, ["path", "block"]))
+def _within_small(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates among all sets of a node, of SMALL at most, that no links join yet."""
+    same, maybe = alike("x", "y", percent)
+    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root"))
+    return _pairs(rows.alias("x").join(rows.alias("y"), (F.col("x.path") == F.col("y.path")) & apart & maybe), same)
 
 
-def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """rows with `root`, the least set that links join rep to so far."""
-    if roots is None:
-        return rows.withColumn("root", F.col("rep"))
-    return rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+def _whole_nodes(rows: DataFrame, percent: int, blocks: int = 64) -> DataFrame:
+    """Candidates among the sets outside a node's main component and all its sets, in blocks: the exact way for nodes that stay large."""
+    parts = rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max(F.struct("n", "root")).alias("m"))
+    whole = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
+    ones = rows.join(parts.select("path", F.col("m.root").alias("main")), "path").where("root <> main").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    same, maybe = alike("x", "y", percent)
+    on = (F.col("x.path") == F.col("y.path")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root"))
+    return _pairs(ones.alias("x").join(whole.alias("y"), on & maybe), same)
 
 
 class _Links:
@@ -204,15 +187,17 @@ class _Links:
     def __init__(self, confirm):
         self.confirm, self.edges, self.roots = confirm, None, None
 
-    def _add(self, pairs: DataFrame) -> None:
-        new = cut(self.confirm(pairs), "neardup-links")
+    def _add(self, pairs: DataFrame, few: bool) -> None:
+        new = cut(self.confirm(pairs, few), "neardup-links")
         self.edges = new if self.edges is None else self.edges.unionByName(new)
         self.roots = components(self.edges)
 
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """rows with `root`, the least set that links join rep to so far."""
+        return rows.join(self.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
     def open(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sets no links join yet."""
-        if self.roots is None:
-            return pairs
         r = self.roots
         j = pairs.join(r.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(r.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         return j.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same")
@@ -220,50 +205,55 @@ class _Links:
     def take(self, pairs: DataFrame) -> None:
         """Confirms candidates on the full sets: first the best of each set, then all others between what is still apart."""
         todo = cut(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "neardup-candidates")
-        todo = cut(self.open(todo), "neardup-candidates") if self.roots is not None else todo
+        n = todo.count()
+        if not n and self.roots is not None:
+            return
+        few = n <= BROADCAST_PAIRS
         best = todo.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
-        self._add(best)
+        self._add(best, few)
         rest = cut(self.open(todo.join(best, ["a", "b"], "left_anti")), "neardup-candidates")
         if not rest.isEmpty():
-            self._add(rest.select("a", "b"))
+            self._add(rest.select("a", "b"), few)
 
 
-def join_sets(classes: DataFrame, confirm, trees: int = TREES) -> DataFrame | None:
-    """(node, root) of the sets in links, by chosen-path trees; classes: rep, minima; confirm: pairs -> the linked ones.
+def join_sets(classes: DataFrame, confirm, percent: int, trees: int = TREES) -> DataFrame:
+    """(node, root) of the sets in links, by chosen-path trees; classes: rep, size, minima, sketch; confirm: pairs -> the linked ones.
 
-    Nodes of up to SMALL sets are compared exhaustively, larger ones with their
-    pivots first. Large nodes whose sets the confirmed links make one component
-    are done: what else they hold adds nothing. The others branch on, two levels
-    a round; in the last round the sets outside a node's main component are
-    compared with its whole.
+    The sets of every node meet its pivot first, which joins large groups of
+    near copies by one link a set. Then nodes of up to SMALL sets are compared
+    exhaustively between what is still apart. Larger nodes that the links make
+    one component are done: what else they hold adds nothing. The others branch
+    on, two levels a round; in the last round the sets outside a node's main
+    component are compared with its whole.
     """
-    minima = classes.select("rep", "minima")
-    sizes = _nodes(classes, trees).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    nodes = cut(_nodes(classes, trees).join(sizes, "path").join(minima, "rep").select("path", "rep", "minima", "n"), "neardup-nodes")
+    sketch, minima = classes.select("rep", *_SET), classes.select("rep", "minima")
+
+    def shared(paths) -> DataFrame:
+        sizes = paths().groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return cut(paths().join(sizes, "path").join(sketch, "rep").select("path", "rep", "n", *_SET), "neardup-nodes")
+
+    nodes = shared(lambda: _nodes(classes, trees))
     links = _Links(confirm)
     for k in range(ROUNDS):
-        rooted = _with_roots(nodes, links.roots)
-        large = nodes.where(F.col("n") > SMALL).select("path", "rep", "minima")
-        links.take(_compare_small(rooted.where(F.col("n") <= SMALL)).unionByName(_against_pivots(large)))
-        rooted = _with_roots(large, links.roots)
-        parts = rooted.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        rest = rooted.join(parts.select("path", F.col("main.root").alias("main")), "path")
-        rest = cut(rest.select("path", "rep", "minima", (F.col("root") != F.col("main")).alias("open")), "neardup-open")
-        if rest.isEmpty():
-            break
-        if k == ROUNDS - 1:
-            links.take(_whole_nodes(rest))
+        links.take(_against_pivots(nodes, percent))
+        rooted = links.rooted(nodes)
+        mixed = rooted.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")
+        apart = cut(rooted.join(mixed, "path").select("path", "rep", "n", *_SET, "root"), "neardup-open")
+        large = apart.where(F.col("n") > SMALL)
+        last = k == ROUNDS - 1
+        more = _within_small(apart.where(F.col("n") <= SMALL), percent)
+        links.take(more.unionByName(_whole_nodes(large, percent)) if last else more)
+        if last or large.isEmpty():
             break
-        below = _deeper(rest)
-        sizes = below.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        nodes = cut(below.join(sizes, "path").join(minima, "rep").select("path", "rep", "minima", "n"), "neardup-nodes")
+        below = cut(_deeper(large.select("path", "rep").join(minima, "rep")), "neardup-below")
+        nodes = shared(lambda below=below: below)
     return links.roots
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text: str, doc_id: str, few: bool) -> DataFrame:
+    """The pairs whose full shingle sets have 100 * intersection >= percent * union; few: their number is known to be below BROADCAST_PAIRS."""
     reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("t")).join(reps, "rep", "left_semi")
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("t")).join(F.broadcast(reps) if few else reps, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,18 +278,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "components")
     before = None
-    while True:
+    for round_ in itertools.count():
         sym = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u > v").distinct(), "components")
-        # a forest of stars: every node has one neighbour below it, which has none
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before or not now[0]:
+        # a forest of stars stays as it is: every node has one neighbour below it, which has none
+        seen = Observation(f"components-{round_}")
+        e = cut(small.where("u > v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")), "components")
+        if seen.get == before or not seen.get["n"]:
             break
-        before = now
+        before = seen.get
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
 
 
@@ -322,9 +312,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     """
     docs = without(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
     rows = cut(signatures(docs, n, text, doc_id), "neardup-sets")
-    classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("minima").alias("minima"))
+    classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min("minima").alias("minima"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(SKETCH)])
     classes = cut(classes, "neardup-classes")
-    roots = join_sets(classes, lambda pairs: confirmed(pairs, docs, n, percent, text, doc_id), trees)
+    roots = join_sets(classes, lambda pairs, few: confirmed(pairs, docs, n, percent, text, doc_id, few), percent, trees)
     named = classes.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
@@ -335,3 +325,14 @@ def op10_neardup(spark, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component over 2-word shingles at 0.8."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, n=2, percent=80)
+
+
+OP10_ORACLE = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws)))) AS i FROM dw WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT r.start, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, doc_id = c.component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT start AS doc_id, min(node) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""

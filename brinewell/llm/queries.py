@@ -6,11 +6,11 @@ from brinewell.llm.decontam import OP2_ORACLE, op2_decontamination
 from brinewell.llm.hosts import op3_url_filter
 from brinewell.llm.lmscore import op1_lm_score
 from brinewell.llm.mixing import op5_mixing
-from brinewell.llm.neardup import op10_neardup
+from brinewell.llm.neardup import OP10_ORACLE, op10_neardup
 from brinewell.llm.quality import op4_quality
 from brinewell.llm.secrets import op7_secrets
 from brinewell.llm.sharding import op8_sharding
-from brinewell.llm.substrings import op9_substrings
+from brinewell.llm.substrings import OP9_ORACLE, op9_substrings
 from brinewell.llm.tokens import op6_tokens
 
 QUERIES = {
@@ -28,4 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_ORACLE,
+    "op9_substrings": OP9_ORACLE,
+    "op10_neardup": OP10_ORACLE,
 }
