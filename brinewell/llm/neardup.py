@@ -20,6 +20,8 @@ POSITIONS, TREES, LEVELS, TWICE = 64, 16, 3, 0.25
 SMALL, ROUNDS = 64, 3
 #: Bits of each minimum in a sketch; up to so many candidate pairs, counted first, the ids of their documents are broadcast.
 SKETCH, BROADCAST_PAIRS = 4, 500_000
+#: Up to so many candidates are confirmed at once; of more, the best of each set come first, which spares most others.
+AT_ONCE = 20_000
 #: Equal minwise positions from which a pair is a candidate: five deviations below 0.8.
 MAYBE = 35
 _U = np.uint64
@@ -203,12 +205,15 @@ class _Links:
         return j.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same")
 
     def take(self, pairs: DataFrame) -> None:
-        """Confirms candidates on the full sets: first the best of each set, then all others between what is still apart."""
+        """Confirms candidates on the full sets: first the best of each set, then all others between what is still apart; few of them all at once."""
         todo = cut(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "neardup-candidates")
         n = todo.count()
         if not n and self.roots is not None:
             return
         few = n <= BROADCAST_PAIRS
+        if n <= AT_ONCE:
+            self._add(todo.select("a", "b"), few)
+            return
         best = todo.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
         self._add(best, few)
         rest = cut(self.open(todo.join(best, ["a", "b"], "left_anti")), "neardup-candidates")
@@ -234,14 +239,16 @@ def join_sets(classes: DataFrame, confirm, percent: int, trees: int = TREES) ->
 
     nodes = shared(lambda: _nodes(classes, trees))
     links = _Links(confirm)
+    links.take(_against_pivots(nodes, percent))
     for k in range(ROUNDS):
-        links.take(_against_pivots(nodes, percent))
         rooted = links.rooted(nodes)
         mixed = rooted.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")
         apart = cut(rooted.join(mixed, "path").select("path", "rep", "n", *_SET, "root"), "neardup-open")
         large = apart.where(F.col("n") > SMALL)
         last = k == ROUNDS - 1
         more = _within_small(apart.where(F.col("n") <= SMALL), percent)
+        if k:
+            more = more.unionByName(_against_pivots(large, percent))
         links.take(more.unionByName(_whole_nodes(large, percent)) if last else more)
         if last or large.isEmpty():
             break
