@@ -9,7 +9,7 @@ from brinewell.llm.common import SPACE, let, row_hash, without, words
 
 #: The symbols that count, and white space for translate().
 SYMBOLS, BLANK = "#*$%&|<>", " \t\n\x0b\x0c\r"
-#: A line is boilerplate when more documents of the host hold it than LINE_DOCS and LINE_SHARE of the host's documents;
+#: A line is boilerplate when more distinct contents of the host's documents hold it than LINE_DOCS and LINE_SHARE of all of them;
 #: a document is depleted when fewer words than LEAST_WORDS, or less than LEAST_SHARE of them, are left.
 LINE_DOCS, LINE_SHARE, LEAST_WORDS, LEAST_SHARE = 20, 0.01, 20, 0.3
 #: Parts that the rows of a very common line are dealt over.
@@ -71,31 +71,23 @@ def normal_lines(text: Column) -> Column:
 def line_verdicts(df: DataFrame, text: str, host: str, line_docs: int, line_share: float) -> DataFrame:
     """Per document key (_k1, _k2): the hashes of its boilerplate lines.
 
-    A host's documents are counted per line hash, each once, by a partial
-    aggregate before the shuffle. A line's count is judged net of the
-    document's own copies: whole copies of a document hold all its lines, so
-    the count that the least common fifth of its lines reaches is taken off.
-    Lines in more documents than both limits are joined back in SALT parts, so
-    one very common line doesn't land in one task.
+    A host's distinct document contents are counted per line hash: documents
+    with the same set of lines are one content, so whole copies of a document
+    count once, in its lines' counts and in the host's size. They are made
+    distinct and counted by partial aggregations before the shuffles. Lines in
+    more contents than the limit are joined back in SALT parts, so one very
+    common line doesn't land in one task.
     """
-    hosted = df.select("_k1", "_k2", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00none")).alias("_host"), F.array_distinct(F.transform(normal_lines(F.col(f"`{text}`")), lambda x: x["h"])).alias("_lines"))
+    hosted = df.select("_k1", "_k2", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00none")).alias("_host"), F.array_sort(F.array_distinct(F.transform(normal_lines(F.col(f"`{text}`")), lambda x: x["h"]))).alias("_lines"))
     exploded = hosted.select("_k1", "_k2", "_host", F.explode("_lines").alias("_line"))
-    counts = exploded.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    size = hosted.groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
+    contents = hosted.select("_host", "_lines").distinct()
+    counts = contents.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
+    size = contents.groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
     limit = F.greatest(F.lit(float(line_docs)), F.col("_docs") * line_share)
-    common = counts.where(F.col("_n") > line_docs).join(size, "_host").where(F.col("_n") > limit).select("_host", "_line", "_n", limit.alias("_limit"))
+    common = counts.where(F.col("_n") > line_docs).join(size, "_host").where(F.col("_n") > limit).select("_host", "_line")
     salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     held = exploded.withColumn("_salt", F.pmod("_k1", F.lit(SALT)).cast("int")).join(salted, ["_host", "_line", "_salt"])
-    per_doc = held.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_line", "_n", "_limit")).alias("_common"))
-    return per_doc
-
-
-def _bad_lines(lines: Column, common: Column, line_docs: int) -> Column:
-    """Hashes of the boilerplate among a document's lines (see line_verdicts)."""
-    fifth = F.ceil(F.size(lines) / 5).cast("int")
-    rare = F.size(lines) - F.size(common)
-    own = F.when(rare >= fifth, F.lit(0)).otherwise(F.get(F.array_sort(F.transform(common, lambda c: c["_n"])), fifth - rare - 1) - 1)
-    return let(own, lambda o: F.transform(F.filter(common, lambda c: c["_n"] - o > c["_limit"]), lambda c: c["_line"]))
+    return held.groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_bad"))
 
 
 def judge_quality(
@@ -117,8 +109,8 @@ def judge_quality(
     is the text without those lines, or the text as it is where none was found.
 
     A null text counts as empty and fails the base rules; null hosts form one
-    host; repeated rows count as documents of their own and get the same
-    verdict; an empty table stays empty; texts are read whole; input columns
+    host; repeated rows, and whole copies of a text, get the same verdict and
+    count once; an empty table stays empty; texts are read whole; input columns
     called as an output are replaced.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "kept", "clean_text")
@@ -131,7 +123,7 @@ def judge_quality(
     if slim:
         base = base.drop(text)
     j = base.join(common, ["_k1", "_k2"], "left")
-    j = j.withColumn("_bad", F.when(F.col("_common").isNull(), F.array().cast("array<bigint>")).otherwise(_bad_lines(F.array_distinct(F.transform("_lines", lambda x: x["h"])), F.col("_common"), line_docs)))
+    j = j.withColumn("_bad", F.coalesce("_bad", F.array().cast("array<bigint>")))
     gone = F.aggregate(F.filter("_lines", lambda x: F.array_contains("_bad", x["h"])), F.lit(0), lambda a, x: a + x["n"]).cast("long")
     n = F.col("_m.n_words")
     failed = (n < 20) | (100 * F.col("_m.n_repeat_words") > 30 * n)

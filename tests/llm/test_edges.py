@@ -65,6 +65,23 @@ def test_whole_copies_are_not_boilerplate(spark):
     assert all(x["kept"] for x in out)
 
 
+def test_documents_of_boilerplate_only_are_depleted(spark):
+    r = random.Random(3)
+    line = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(6))
+    template, notice = [line() for _ in range(10)], line() + " " + " ".join(str(i) for i in range(20))
+    rows = [(i, "\n".join([*template, *(line() for _ in range(20))])) for i in range(200)] + [(200 + i, "\n".join([notice, *(line() for _ in range(20))])) for i in range(100)]
+    rows += [(300, "\n".join(template)), (301, "\n".join([*template, line()])), (302, "\n".join([*template, line(), line()])), *((303 + i, notice) for i in range(50))]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in rows], "doc_id long, source string, text string")
+    out = {x["doc_id"]: x for x in quality.judge_quality(docs).collect()}
+    assert all(out[i]["kept"] for i in range(300))
+    assert not any(out[i]["kept"] or out[i]["base_failed"] for i in range(300, 353))
+    assert out[300]["n_common_words"] == 60 and out[302]["n_common_words"] == 60
+    # whole copies move no verdict of others
+    more = docs.union(docs.where("doc_id = 0").select(F.explode(F.expr("sequence(1000L, 3000L)")), "source", "text"))
+    again = {x["doc_id"]: x for x in quality.judge_quality(more).collect()}
+    assert all(again[i] == out[i] for i in out)
+
+
 def test_reputation_follows_evidence(spark):
     rows = [(i, f"http://bad.spam.co.uk/{i}", 1) for i in range(40)] + [(100 + i, f"http://good.fine.com/{i}", 0) for i in range(40)] + [(200, "http://new.spam.co.uk/", None), (201, "http://once.fine.com/", 1), (202, None, None)]
     pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
