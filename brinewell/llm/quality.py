@@ -9,9 +9,10 @@ from brinewell.llm.common import SPACE, let, row_hash, without, words
 
 #: The symbols that count, and white space for translate().
 SYMBOLS, BLANK = "#*$%&|<>", " \t\n\x0b\x0c\r"
-#: A line is boilerplate when more distinct contents of the host's documents hold it than LINE_DOCS and LINE_SHARE of all of them;
+#: A line is boilerplate when more distinct contents of the host's documents hold it than LINE_DOCS and LINE_SHARE of all of them,
+#: or than LINE_MOST whatever the host's size;
 #: a document is depleted when fewer words than LEAST_WORDS, or less than LEAST_SHARE of them, are left.
-LINE_DOCS, LINE_SHARE, LEAST_WORDS, LEAST_SHARE = 20, 0.01, 20, 0.3
+LINE_DOCS, LINE_SHARE, LINE_MOST, LEAST_WORDS, LEAST_SHARE = 20, 0.01, 400, 20, 0.3
 #: Parts that the rows of a very common line are dealt over.
 SALT = 32
 
@@ -68,7 +69,7 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.filter(norm, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
 
-def line_verdicts(df: DataFrame, text: str, host: str, line_docs: int, line_share: float) -> DataFrame:
+def line_verdicts(df: DataFrame, text: str, host: str, line_docs: int, line_share: float, line_most: int) -> DataFrame:
     """Per document key (_k1, _k2): the hashes of its boilerplate lines.
 
     A host's distinct document contents are counted per line hash: documents
@@ -83,8 +84,8 @@ def line_verdicts(df: DataFrame, text: str, host: str, line_docs: int, line_shar
     contents = hosted.select("_host", "_lines").distinct()
     counts = contents.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
     size = contents.groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
-    limit = F.greatest(F.lit(float(line_docs)), F.col("_docs") * line_share)
-    common = counts.where(F.col("_n") > line_docs).join(size, "_host").where(F.col("_n") > limit).select("_host", "_line")
+    limit = F.least(F.greatest(F.lit(float(line_docs)), F.col("_docs") * line_share), F.lit(float(line_most)))
+    common = counts.where(F.col("_n") > min(line_docs, line_most)).join(size, "_host").where(F.col("_n") > limit).select("_host", "_line")
     salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     held = exploded.withColumn("_salt", F.pmod("_k1", F.lit(SALT)).cast("int")).join(salted, ["_host", "_line", "_salt"])
     return held.groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_bad"))
@@ -99,6 +100,7 @@ def judge_quality(
     least_words: int = LEAST_WORDS,
     least_share: float = LEAST_SHARE,
     with_clean: bool = False,
+    line_most: int = LINE_MOST,
 ) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_common_words, kept and, on request, clean_text.
 
@@ -116,7 +118,7 @@ def judge_quality(
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "kept", "clean_text")
     df = without(docs, *added)
     keyed = df.withColumns({"_k1": row_hash(df, 41), "_k2": row_hash(df, 42)})
-    common = line_verdicts(keyed, text, host, line_docs, line_share)
+    common = line_verdicts(keyed, text, host, line_docs, line_share, line_most)
     t = F.col(f"`{text}`")
     slim = not with_clean
     base = keyed.withColumn("_m", text_measures(t)).withColumn("_lines", normal_lines(t))

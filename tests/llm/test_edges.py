@@ -82,6 +82,12 @@ def test_documents_of_boilerplate_only_are_depleted(spark):
     assert all(again[i] == out[i] for i in out)
 
 
+def test_a_line_in_many_documents_is_removed_on_any_host_size(spark):
+    docs = spark.range(60_000).selectExpr("id doc_id", "'s' source", "concat(if(id < 500, 'follow us for more', concat('line ', id)), '\n', 'own ', id) text")
+    out = quality.judge_quality(docs).where("n_common_words > 0").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("m"), F.max("n_common_words").alias("w")).first()
+    assert tuple(out) == (500, 499, 4)
+
+
 def test_reputation_follows_evidence(spark):
     rows = [(i, f"http://bad.spam.co.uk/{i}", 1) for i in range(40)] + [(100 + i, f"http://good.fine.com/{i}", 0) for i in range(40)] + [(200, "http://new.spam.co.uk/", None), (201, "http://once.fine.com/", 1), (202, None, None)]
     pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
