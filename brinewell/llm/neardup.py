@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from brinewell.llm.common import without
 from brinewell.session import cut
 
-#: Minwise positions; trees and levels of the join; the share of paths that pick a second position.
-POSITIONS, TREES, LEVELS, TWICE = 64, 16, 3, 0.25
+#: Minwise positions of a group of trees, and groups, each with positions of its own; trees and levels of the join; the share of paths that pick a second position, down to these levels and below.
+POSITIONS, GROUPS, TREES, LEVELS, TWICE, TWICE_BELOW = 64, 2, 24, 3, 0.25, 0.5
 #: Nodes of up to so many sets are compared exhaustively; rounds, of two more levels each, for larger ones.
 SMALL, ROUNDS = 64, 3
 #: Bits of each minimum in a sketch; up to so many candidate pairs, counted first, the ids of their documents are broadcast.
@@ -52,36 +53,50 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def _minima(sets: list[np.ndarray]) -> np.ndarray:
-    """POSITIONS minwise values of each (non-empty) set, as rows of 32-bit numbers."""
+    """GROUPS * POSITIONS minwise values of each (non-empty) set, as rows of 32-bit numbers."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    seeds = _mix(np.arange(1, POSITIONS + 1, dtype=_U)) | _U(1)
-    out = np.empty((len(sets), POSITIONS), np.uint32)
+    seeds = _mix(np.arange(1, GROUPS * POSITIONS + 1, dtype=_U)) | _U(1)
+    out = np.empty((len(sets), GROUPS * POSITIONS), np.uint32)
     for i, a in enumerate(seeds):
         v = flat * a
         out[:, i] = np.minimum.reduceat((v ^ (v >> _U(29))) * _U(0x9E3779B97F4A7C15) >> _U(32), starts).astype(np.uint32)
     return out
 
 
-def _branch(path: np.ndarray, row: np.ndarray, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level down: each path picks one position by its own hash, a quarter of them two; a set goes on by its value there."""
-    h = _mix(path)
+def _branch(path: np.ndarray, row: np.ndarray, minima: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """One level down: each path picks one position of its group by its own hash, a share of them two; a set goes on by its value there. The last bits of a path name its group."""
+    h = _mix(path)  # GROUPS is a power of 2, so no path overflows
     first = (h % _U(POSITIONS)).astype(np.int64)
     second = (first + 1 + ((h >> _U(8)) % _U(POSITIONS - 1)).astype(np.int64)) % POSITIONS
-    twice = (h >> _U(32)).astype(np.float64) / 2**32 < TWICE
+    twice = (h >> _U(32)).astype(np.float64) / 2**32 < share
     p = np.concatenate([path, path[twice]])
     at = np.concatenate([first, second[twice]])
     r = np.concatenate([row, row[twice]])
-    return _mix(p * _U(31) + at.astype(_U) * _U(0x100000001B3) + _mix(minima[r, at].astype(_U))), r
+    group = p % _U(GROUPS)
+    below = _mix(p * _U(31) + at.astype(_U) * _U(0x100000001B3) + _mix(minima[r, group.astype(np.int64) * POSITIONS + at].astype(_U)))
+    return below - below % _U(GROUPS) + group, r
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS * POSITIONS)
 
 
 def _sketch(minima: np.ndarray) -> list[pa.Array]:
-    """SKETCH 64-bit words of each set: bit p of word k is bit k of the minimum at position p."""
-    return [pa.array(np.packbits((minima >> np.uint32(k) & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()) for k in range(SKETCH)]
+    """SKETCH 64-bit words of each set: bit p of word k is bit k of the minimum at position p of the first group."""
+    return [pa.array(np.packbits((minima[:, :POSITIONS] >> np.uint32(k) & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()) for k in range(SKETCH)]
+
+
+def missed(similarity: float, levels: int, trees: int = TREES) -> float:
+    """The share of pairs of a similarity that meet in no tree's nodes at a level: trees of a group read the same positions, groups read their own."""
+    alone = 0.0
+    for equal in range(POSITIONS + 1):
+        p, meet = equal / POSITIONS, 1.0
+        for level in reversed(range(levels)):
+            share = TWICE if level < LEVELS else TWICE_BELOW
+            meet = 1 - (1 - share) * (1 - p * meet) - share * (1 - p * meet) ** 2
+        alone += comb(POSITIONS, equal) * similarity**equal * (1 - similarity) ** (POSITIONS - equal) * (1 - meet) ** (trees // GROUPS)
+    return alone**GROUPS
 
 
 def alike(a: str, b: str, percent: int) -> tuple[Column, Column]:
@@ -107,7 +122,7 @@ def signatures(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
                 part = b.slice(k, 1000)
                 sets = [shingles(t, n) for t in part.column(1).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                minima = np.zeros((len(sets), POSITIONS), np.uint32)
+                minima = np.zeros((len(sets), GROUPS * POSITIONS), np.uint32)
                 if full:
                     minima[full] = _minima([sets[i] for i in full])
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -126,9 +141,9 @@ def _nodes(classes: DataFrame, trees: int) -> DataFrame:
                 reps, minima = part.column(0).to_numpy(), _matrix(part.column(1))
                 for tree in range(trees):
                     row = np.arange(len(reps))
-                    path = np.full(len(reps), _mix(np.array([tree + 1]))[0])
+                    path = np.full(len(reps), _mix(np.array([tree + 1]))[0] // _U(GROUPS) * _U(GROUPS) + _U(tree % GROUPS))
                     for _ in range(LEVELS):
-                        path, row = _branch(path, row, minima)
+                        path, row = _branch(path, row, minima, TWICE)
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[row])], names=["path", "rep"])
 
     return classes.select("rep", "minima").mapInArrow(run, "path long, rep long")
@@ -144,7 +159,7 @@ def _deeper(rows: DataFrame) -> DataFrame:
                 continue
             row = np.arange(len(reps))
             for _ in range(2):
-                path, row = _branch(path, row, minima)
+                path, row = _branch(path, row, minima, TWICE_BELOW)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[row])], names=["path", "rep"])
 
     return rows.select("path", "rep", "minima").mapInArrow(run, "path long, rep long")
@@ -306,10 +321,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     Two documents are linked when their sets of n-word shingles (A-Z lowered,
     words parted by ASCII white space) share percent in 100 of their union.
     Documents with the same set are one class from the start and stand in the
-    join as one set. In each of `trees` independent trees a set branches by its
-    minwise value at the positions that its path picks; nodes that stay large
-    branch on; small ones are compared exhaustively. A pair at 0.8 meets in one
-    tree with probability 0.64, so 16 trees miss 1 in 10 million of them. Every
+    join as one set. In each of `trees` trees a set branches by its minwise value
+    at the positions that its path picks; nodes that stay large branch on; small
+    ones are compared exhaustively. GROUPS of trees read positions of their own.
+    A pair at 0.8 meets in no node that is compared exhaustively with the
+    probability `missed`: 3.8e-09 at level 3, 3.7e-07 at 5, 3.0e-06 at 7, where all that is
+    left is compared. The sketches' filter (MAYBE) loses 1.2e-6 besides. Every
     candidate is confirmed on the full sets.
 
     A text without words (null, empty) has n_shingles 0 and is a component of

@@ -130,6 +130,19 @@ def test_large_groups_of_near_copies(spark):
     assert got == sorted(brute.near(rows, 2, 80))
 
 
+def test_pairs_in_crowds_are_found(spark, monkeypatch):
+    # at every level down to the last, fewer pairs at the limit are missed than 1 in 100,000
+    assert all(neardup.missed(0.8, k) < 1e-5 for k in (3, 5, 7))
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    r = random.Random(13)
+    template, rows = [f"t{i}" for i in range(110)], []
+    for pair in range(60):  # texts of one template, each near to one other only
+        own = [f"p{pair}_{i}" for i in range(45)]
+        rows += [(2 * pair + k, " ".join([*template, *own, *(f"o{pair}_{k}_{i}" for i in range(r.randrange(8, 15)))])) for k in range(2)]
+    got = sorted(tuple(x) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect())
+    assert got == sorted(brute.near(rows, 2, 80)) and sum(not x[3] for x in got) == 60
+
+
 def test_repeats_match_brute_force_on_random_texts(spark):
     r = random.Random(11)
     rows = [(i if i % 9 else None, " ".join(r.choice("ab") for _ in range(r.randrange(60)))) for i in range(1, 60)]
