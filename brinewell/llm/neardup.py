@@ -17,12 +17,12 @@ from brinewell.session import cut
 
 #: Minwise positions of a group of trees, and groups, each with positions of its own; trees and levels of the join; the share of paths that pick a second position, down to these levels and below.
 POSITIONS, GROUPS, TREES, LEVELS, TWICE, TWICE_BELOW = 64, 2, 24, 3, 0.25, 0.5
-#: Nodes of up to so many sets are compared exhaustively; rounds, of two more levels each, for larger ones.
-SMALL, ROUNDS = 64, 3
+#: Nodes of up to so many sets are compared pair by pair; in larger ones each set meets its node's pivot first, the best PIVOTS of all trees.
+SMALL, PIVOTS = 32, 3
+#: Trees whose larger nodes are swept at the first levels; shingles in a part of a sweep, beyond which a node branches on; rounds, of two more levels each.
+SWEPT, PART, ROUNDS = 14, 4_000_000, 3
 #: Bits of each minimum in a sketch; up to so many candidate pairs, counted first, the ids of their documents are broadcast.
 SKETCH, BROADCAST_PAIRS = 4, 500_000
-#: Up to so many candidates are confirmed at once; of more, the best of each set come first, which spares most others.
-AT_ONCE = 20_000
 #: Equal minwise positions from which a pair is a candidate: five deviations below 0.8.
 MAYBE = 35
 _U = np.uint64
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
 
 
 def _nodes(classes: DataFrame, trees: int) -> DataFrame:
-    """(path, rep) of every set in every tree, LEVELS down."""
+    """(path, rep, tree) of every set in every tree, LEVELS down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,137 +144,153 @@ def _nodes(classes: DataFrame, trees: int) -> DataFrame:
                     path = np.full(len(reps), _mix(np.array([tree + 1]))[0] // _U(GROUPS) * _U(GROUPS) + _U(tree % GROUPS))
                     for _ in range(LEVELS):
                         path, row = _branch(path, row, minima, TWICE)
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[row])], names=["path", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[row]), pa.array(np.full(len(row), tree, np.int32))], names=["path", "rep", "tree"])
 
-    return classes.select("rep", "minima").mapInArrow(run, "path long, rep long")
+    return classes.select("rep", "minima").mapInArrow(run, "path long, rep long, tree int")
 
 
 def _deeper(rows: DataFrame) -> DataFrame:
-    """Two levels more of (path, rep, minima)."""
+    """Two levels more of (path, rep, tree, minima)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            path, reps, minima = b.column(0).to_numpy().view(_U), b.column(1).to_numpy(), _matrix(b.column(2)) if b.num_rows else None
-            if minima is None:
+            if not b.num_rows:
                 continue
+            path, reps, trees, minima = b.column(0).to_numpy().view(_U), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3))
             row = np.arange(len(reps))
             for _ in range(2):
                 path, row = _branch(path, row, minima, TWICE_BELOW)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[row])], names=["path", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[row]), pa.array(trees[row])], names=["path", "rep", "tree"])
 
-    return rows.select("path", "rep", "minima").mapInArrow(run, "path long, rep long")
+    return rows.select("path", "rep", "tree", "minima").mapInArrow(run, "path long, rep long, tree int")
 
 
 #: A set in the join: its sketch and size.
 _SET = ["size", *[f"k{i}" for i in range(SKETCH)]]
 
 
-def _pairs(joined: DataFrame, same: Column) -> DataFrame:
-    """Candidates (a, b, same) of joined sets x and y."""
-    return joined.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), same.cast("int").alias("same"))
+def _within_small(nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among all sets of every node of SMALL sets at most."""
+    same, maybe = alike("x", "y", percent)
+    rows = nodes.where(F.col("n") <= SMALL)
+    return rows.alias("x").join(rows.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.rep") < F.col("y.rep")) & maybe).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def _against_pivots(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidates among the sets of every node and its pivot, the set with the least hash."""
-    pivots = nodes.groupBy("path").agg(F.min(F.struct(F.xxhash64("rep", "path").alias("h"), "rep", *_SET)).alias("p")).select("path", "p.rep", *[f"p.{c}" for c in _SET])
+    """Candidates (a, b) of every set with the most alike of its larger nodes' pivots; a node's pivot is its set with the least hash."""
+    rows = nodes.where(F.col("n") > SMALL)
+    pivots = rows.groupBy("path").agg(F.min(F.struct(F.xxhash64("rep", "path").alias("h"), "rep", *_SET)).alias("p")).select("path", "p.rep", *[f"p.{c}" for c in _SET])
     same, maybe = alike("x", "y", percent)
-    return _pairs(nodes.alias("x").join(pivots.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.rep") != F.col("y.rep")) & maybe), same)
+    met = rows.alias("x").join(pivots.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.rep") != F.col("y.rep")) & maybe)
+    met = met.select(F.col("x.rep").alias("x"), F.struct(same.cast("int").alias("same"), F.col("y.rep").alias("y")).alias("p"))
+    best = met.groupBy("x").agg(F.slice(F.sort_array(F.collect_set("p"), asc=False), 1, PIVOTS).alias("p")).select("x", F.explode("p.y").alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _within_small(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates among all sets of a node, of SMALL at most, that no links join yet."""
-    same, maybe = alike("x", "y", percent)
-    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root"))
-    return _pairs(rows.alias("x").join(rows.alias("y"), (F.col("x.path") == F.col("y.path")) & apart & maybe), same)
+def _open(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, rep, tree, size, root, main, weight) of the larger nodes that links don't make one component yet.
 
+    main: the component with the most sets of the node; weight: the node's
+    shingles. Of nodes with the same sets, one stays.
+    """
+    rooted = nodes.where(F.col("n") > SMALL).select("path", "rep", "tree", "size").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    by_root = rooted.groupBy("path", "root").agg(F.min("tree").alias("tree"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("print"))
+    info = by_root.groupBy("path").agg(F.min("tree").alias("tree"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("weight"), F.sum("print").alias("print")).where("roots > 1")
+    info = info.groupBy("n", "print", "weight").agg(F.min(F.struct("tree", "path", F.col("m.root").alias("main"))).alias("i")).select("i.path", "i.main", "weight")
+    return rooted.join(info, "path")
 
-def _whole_nodes(rows: DataFrame, percent: int, blocks: int = 64) -> DataFrame:
-    """Candidates among the sets outside a node's main component and all its sets, in blocks: the exact way for nodes that stay large."""
-    parts = rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max(F.struct("n", "root")).alias("m"))
-    whole = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
-    ones = rows.join(parts.select("path", F.col("m.root").alias("main")), "path").where("root <> main").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    same, maybe = alike("x", "y", percent)
-    on = (F.col("x.path") == F.col("y.path")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root"))
-    return _pairs(ones.alias("x").join(whole.alias("y"), on & maybe), same)
-
-
-class _Links:
-    """The confirmed links so far, and the components that they make."""
-
-    def __init__(self, confirm):
-        self.confirm, self.edges, self.roots = confirm, None, None
-
-    def _add(self, pairs: DataFrame, few: bool) -> None:
-        new = cut(self.confirm(pairs, few), "neardup-links")
-        self.edges = new if self.edges is None else self.edges.unionByName(new)
-        self.roots = components(self.edges)
-
-    def rooted(self, rows: DataFrame) -> DataFrame:
-        """rows with `root`, the least set that links join rep to so far."""
-        return rows.join(self.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-
-    def open(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets no links join yet."""
-        r = self.roots
-        j = pairs.join(r.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(r.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        return j.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same")
-
-    def take(self, pairs: DataFrame) -> None:
-        """Confirms candidates on the full sets: first the best of each set, then all others between what is still apart; few of them all at once."""
-        todo = cut(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "neardup-candidates")
-        n = todo.count()
-        if not n and self.roots is not None:
-            return
-        few = n <= BROADCAST_PAIRS
-        if n <= AT_ONCE:
-            self._add(todo.select("a", "b"), few)
-            return
-        best = todo.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
-        self._add(best, few)
-        rest = cut(self.open(todo.join(best, ["a", "b"], "left_anti")), "neardup-candidates")
-        if not rest.isEmpty():
-            self._add(rest.select("a", "b"), few)
-
-
-def join_sets(classes: DataFrame, confirm, percent: int, trees: int = TREES) -> DataFrame:
-    """(node, root) of the sets in links, by chosen-path trees; classes: rep, size, minima, sketch; confirm: pairs -> the linked ones.
-
-    The sets of every node meet its pivot first, which joins large groups of
-    near copies by one link a set. Then nodes of up to SMALL sets are compared
-    exhaustively between what is still apart. Larger nodes that the links make
-    one component are done: what else they hold adds nothing. The others branch
-    on, two levels a round; in the last round the sets outside a node's main
-    component are compared with its whole.
+
+def _sweep(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among all sets of every open node, enough to join what they join: compared exhaustively, on the full sets.
+
+    The sets outside a node's main component are compared with all of its sets,
+    so two sets that links join already are not. A node of more than PART
+    shingles is dealt over parts of PART each, by sets and by those outside,
+    and every part meets every other in a task of its own.
+    """
+    outside = rows.groupBy("path").agg(F.sum(F.when(F.col("root") != F.col("main"), F.col("size")).otherwise(0)).alias("out"))
+    r = rows.join(outside, "path").withColumns({"blocks": F.ceil(F.col("weight") / PART).cast("int"), "chunks": F.ceil(F.greatest("out", F.lit(1)) / PART).cast("int"), "h": F.xxhash64("rep", "path")})
+    lone = F.col("root") != F.col("main")
+    whole = (F.col("blocks") == 1) & (F.col("chunks") == 1)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = r.where(whole).select("path", "rep", "root", F.lit(0).alias("block"), F.lit(0).alias("chunk"), lone.alias("asks"), F.lit(True).alias("answers"))
+    many = r.where(~whole)
+    answers = many.withColumn("chunk", F.explode(every("chunks"))).select("path", "rep", "root", F.pmod("h", "blocks").cast("int").alias("block"), "chunk", F.lit(False).alias("asks"), F.lit(True).alias("answers"))
+    asks = many.where(lone).withColumn("block", F.explode(every("blocks"))).select("path", "rep", "root", "block", F.pmod(F.shiftright("h", 20), "chunks").cast("int").alias("chunk"), F.lit(True).alias("asks"), F.lit(False).alias("answers"))
+    met = one.unionByName(answers).unionByName(asks).join(sets, "rep")
+    return met.groupBy("path", "block", "chunk").applyInArrow(lambda t: _links_in(t, percent), "a long, b long")
+
+
+def _links_in(t: pa.Table, percent: int) -> pa.Table:
+    """Of one part: links between its asking and its answering sets, one for each two components that they join."""
+    rep, root = t.column("rep").to_numpy(), np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+    asks, answers = np.flatnonzero(t.column("asks").to_numpy()), np.flatnonzero(t.column("answers").to_numpy())
+    lists = t.column("s").combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    size = np.diff(offsets)
+    held = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in answers]) if len(answers) else flat[:0]
+    starts = np.concatenate([[0], np.cumsum(size[answers])[:-1]]) if len(answers) else np.empty(0, int)
+    known, code = np.unique(held, return_inverse=True)
+    mine, out = np.zeros(len(known) + 1, bool), []
+    for i in asks if len(answers) else ():
+        apart = root[answers] != root[i]
+        if not apart.any():
+            continue
+        own = flat[offsets[i] : offsets[i + 1]]
+        at = np.searchsorted(known, own)
+        at = at[known[np.minimum(at, len(known) - 1)] == own]
+        mine[at] = True
+        both = np.add.reduceat(mine[code], starts, dtype=np.int64)
+        mine[at] = False
+        linked = np.flatnonzero(apart & (100 * both >= percent * (size[answers] + size[i] - both)))
+        for r, k in zip(*np.unique(root[answers[linked]], return_index=True), strict=True):
+            out.append((rep[i], rep[answers[linked[k]]]))
+            root[root == r] = root[i]
+    pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def join_sets(classes: DataFrame, sets, percent: int, trees: int = TREES) -> DataFrame:
+    """(node, root) of the sets in links, by chosen-path trees; classes: rep, size, minima, sketch; sets: (reps, few) -> rep and its full set s.
+
+    Small nodes are compared pair by pair. In larger ones every set meets a
+    pivot first, which joins large groups of near copies by few links a set;
+    larger nodes that the links make one component are done: what else they
+    hold adds nothing. In the others, the sets outside the main component are
+    compared with all. Nodes of more than PART shingles branch on before, two
+    levels a round, and are swept in parts where the last round leaves them so.
     """
-    sketch, minima = classes.select("rep", *_SET), classes.select("rep", "minima")
+    sketch = classes.select("rep", *_SET)
 
     def shared(paths) -> DataFrame:
         sizes = paths().groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return cut(paths().join(sizes, "path").join(sketch, "rep").select("path", "rep", "n", *_SET), "neardup-nodes")
+        return cut(paths().join(sizes, "path").join(sketch, "rep").select("path", "rep", "tree", "n", *_SET), "neardup-nodes")
 
-    nodes = shared(lambda: _nodes(classes, trees))
-    links = _Links(confirm)
-    links.take(_against_pivots(nodes, percent))
+    nodes, edges, roots = shared(lambda: _nodes(classes, trees)), None, None
     for k in range(ROUNDS):
-        rooted = links.rooted(nodes)
-        mixed = rooted.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")
-        apart = cut(rooted.join(mixed, "path").select("path", "rep", "n", *_SET, "root"), "neardup-open")
-        large = apart.where(F.col("n") > SMALL)
+        todo = cut(_within_small(nodes, percent).unionByName(_against_pivots(nodes, percent)).distinct(), "neardup-candidates")
+        few = todo.count() <= BROADCAST_PAIRS
+        links = cut(confirmed(todo, sets(todo.select(F.col("a").alias("rep")).union(todo.select("b")).distinct(), few), percent), "neardup-links")
+        edges = links if edges is None else edges.unionByName(links)
+        roots = components(edges)
+        rows = cut(_open(nodes, roots), "neardup-open")
         last = k == ROUNDS - 1
-        more = _within_small(apart.where(F.col("n") <= SMALL), percent)
-        if k:
-            more = more.unionByName(_against_pivots(large, percent))
-        links.take(more.unionByName(_whole_nodes(large, percent)) if last else more)
+        now = rows if last else rows.where(F.col("weight") <= PART)
+        now = now if k else now.where(F.col("tree") < SWEPT)
+        reps = cut(now.select("rep").distinct(), "neardup-asked")
+        if n := reps.count():
+            edges = edges.unionByName(cut(_sweep(now, sets(reps, n <= BROADCAST_PAIRS), percent), "neardup-links"))
+            roots = components(edges)
+        large = rows.where(F.col("weight") > PART)
         if last or large.isEmpty():
             break
-        below = cut(_deeper(large.select("path", "rep").join(minima, "rep")), "neardup-below")
+        below = cut(_deeper(large.select("path", "rep", "tree").join(classes.select("rep", "minima"), "rep")), "neardup-below")
         nodes = shared(lambda below=below: below)
-    return links.roots
+    return roots
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text: str, doc_id: str, few: bool) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union; few: their number is known to be below BROADCAST_PAIRS."""
-    reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, reps: DataFrame, n: int, text: str, doc_id: str, few: bool) -> DataFrame:
+    """rep and s, the shingles of its text, of the documents in reps; few: their number is known to be bounded."""
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("t")).join(F.broadcast(reps) if few else reps, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,10 +302,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text: str
                 flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "s"])
 
-    sets = slim.mapInArrow(run, "rep long, s array<long>")
+    return slim.mapInArrow(run, "rep long, s array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b").distinct()
+    return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -322,12 +342,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     words parted by ASCII white space) share percent in 100 of their union.
     Documents with the same set are one class from the start and stand in the
     join as one set. In each of `trees` trees a set branches by its minwise value
-    at the positions that its path picks; nodes that stay large branch on; small
-    ones are compared exhaustively. GROUPS of trees read positions of their own.
-    A pair at 0.8 meets in no node that is compared exhaustively with the
-    probability `missed`: 3.8e-09 at level 3, 3.7e-07 at 5, 3.0e-06 at 7, where all that is
-    left is compared. The sketches' filter (MAYBE) loses 1.2e-6 besides. Every
-    candidate is confirmed on the full sets.
+    at the positions that its path picks; GROUPS of trees read positions of
+    their own. Small nodes are compared pair by pair, larger ones by pivots and
+    then exhaustively between what stays apart (``join_sets``). A pair at 0.8
+    meets in no node with the probability `missed`: 3.8e-09 at level 3 (4e-06 in
+    the SWEPT trees whose larger nodes are compared there), 3.7e-07 at level 5,
+    3.0e-06 at 7. The sketches' filter (MAYBE) of small nodes loses 1.2e-6
+    besides. Every link is confirmed on the full sets.
 
     A text without words (null, empty) has n_shingles 0 and is a component of
     its own. A null doc_id links with nothing, has a null component_id and is
@@ -338,7 +359,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     rows = cut(signatures(docs, n, text, doc_id), "neardup-sets")
     classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min("minima").alias("minima"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(SKETCH)])
     classes = cut(classes, "neardup-classes")
-    roots = join_sets(classes, lambda pairs, few: confirmed(pairs, docs, n, percent, text, doc_id, few), percent, trees)
+    roots = join_sets(classes, lambda reps, few: full_sets(docs, reps, n, text, doc_id, few), percent, trees)
     named = classes.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
