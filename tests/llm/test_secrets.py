@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from brinewell.llm.secrets import CANDIDATE, find_candidates, scan_secrets
+from brinewell.llm.secrets import CANDIDATE, FEATURES, find_candidates, forest_score, made_findings, scan_secrets
 from tests.llm.brute import SPACE
 from tests.llm.conftest import EDGE_DOCS, SF, rows_of
 
@@ -51,16 +51,39 @@ def test_held_out_findings(spark):
     assert len(out) >= 150 and right >= 0.97 * len(out), (len(out), right)
 
 
-def test_clear_cases_decide_without_labels(spark):
+def test_generated_findings_decide_without_labels(spark):
     docs, _ = corpus()
     out = scan_secrets(spark.createDataFrame(docs, SCHEMA)).collect()
     kept = {r["doc_id"] for r in out if r["kept"]}
     assert {i for i in range(400) if i % 4 == 0} == kept
 
 
+def test_generated_findings_held_out(spark):
+    docs, truth = made_findings(spark, 1100)
+    labelled = find_candidates(docs, "text", "doc_id", None).join(truth, "doc_id").select("doc_id", "at", "nth", "is_secret")
+    want = {r["doc_id"]: r["is_secret"] for r in truth.collect()}
+    out = scan_secrets(docs, labelled.where("doc_id % 5 < 2")).where("doc_id % 5 >= 2").collect()
+    right = sum(r["kept"] == want[r["doc_id"]] for r in out)
+    assert len(out) >= 500 and right >= 0.95 * len(out), (len(out), right)
+
+
+def test_trees_as_expressions_equal_the_model(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    r = random.Random(9)
+    rows = [tuple(r.random() for _ in FEATURES) for _ in range(300)]
+    df = spark.createDataFrame([(*x, float(x[0] + x[3] > 1)) for x in rows], ", ".join(f"{c} double" for c in (*FEATURES, "label"))).coalesce(1)
+    v = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    forest = RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(v.transform(df))
+    got = forest.transform(v.transform(df)).select(forest_score(spark, forest).alias("a"), vector_to_array("probability")[1].alias("b")).collect()
+    assert len({x["a"] for x in got}) > 3 and all(abs(x["a"] - x["b"]) < 1e-12 for x in got)
+
+
 def test_one_kind_of_label_removes_nothing(spark):
     docs = spark.createDataFrame([(1, "mail a.person7@host.example.com now", "", "")] * 2, SCHEMA)
-    out = scan_secrets(docs).collect()
+    out = scan_secrets(docs, spark.createDataFrame([(1, 1, 0, False)], "doc_id long, at long, nth int, is_secret boolean")).collect()
     assert len(out) == 2 and all(r["kept"] and r["secret_score"] is None for r in out)
 
 
