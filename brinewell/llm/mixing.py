@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: Column, share: float, most_times:
 
 
 def _pieces(rows: DataFrame, block: int) -> DataFrame:
-    """Each document's words as pieces of its source's blocks: _k1, _k2, _copy, _source, _block, _words and _at.
+    """Each document's words as pieces of its source's blocks: _k1, _k2, _copy, _source, _block, _words, _at (in the text) and _off (in the block).
 
     A source's words are packed one after another in the order of a content
     hash. Its documents lie in BINS bins; running sums within a bin start at the
@@ -54,7 +54,7 @@ def _pieces(rows: DataFrame, block: int) -> DataFrame:
     placed = placed.withColumn("_from", F.col("_start") + F.col("_before")).where("size > 0")
     parts = placed.withColumn("_block", F.explode(F.expr(f"sequence(_from div {block}, (_from + size - 1) div {block})")))
     lo, hi = F.greatest(F.col("_from"), F.col("_block") * block), F.least(F.col("_from") + F.col("size"), (F.col("_block") + 1) * block)
-    return parts.select("_k1", "_k2", "_copy", "_source", "_block", (hi - lo).alias("_words"), (lo - F.col("_from")).alias("_at"))
+    return parts.select("_k1", "_k2", "_copy", "_source", "_block", (hi - lo).alias("_words"), (lo - F.col("_from")).alias("_at"), (lo - F.col("_block") * block).alias("_off"))
 
 
 def _small(df: DataFrame, few: bool) -> DataFrame:
@@ -62,19 +62,23 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
 
 
 def draws(targets: DataFrame, block: int, shard_slots: int, seed: int, few: bool) -> DataFrame:
-    """(source key, block, epoch, output shard) of every slot of the mix.
+    """(source key, block, epoch, output shard, _take, _whole_block) of every slot of the mix; _take: how many of the block's words, from its first.
 
     Each slot of each output shard draws its source from the targets' shares, so
     a shard's source counts are multinomial. A source's slots, numbered through
     all shards, must end at its quota of blocks: slots drawn beyond it go, by
     number, to sources that drew too few, which keeps every source at its
     target and none above its cap. A source's j-th slot is epoch j div B and
-    block p(j mod B), with p a keyed Feistel permutation of its B blocks.
+    block p(j mod B), with p a keyed Feistel permutation of its B blocks. A
+    source's last block may be short, and the last slot of its last epoch is cut
+    where its target is reached, so even a source of a few words gets its share.
     """
     spark = targets.sparkSession
     t = targets.where("source_size > 0 AND target > 0").withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     t = t.withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("_whole", F.floor(F.col("target") / F.col("source_size")).cast("long"))
-    t = t.withColumn("_quota", F.col("_whole") * F.col("_blocks") + F.round((F.col("target") - F.col("_whole") * F.col("source_size")) / block).cast("long"))
+    t = t.withColumns({"_rest": F.round("target").cast("long") - F.col("_whole") * F.col("source_size"), "_last": F.col("source_size") - (F.col("_blocks") - 1) * block})
+    more = F.when(F.col("_rest") > 0, F.least(F.col("_blocks"), F.ceil((F.col("_rest") + block - F.col("_last")) / block).cast("long"))).otherwise(F.lit(0))
+    t = t.withColumn("_quota", F.col("_whole") * F.col("_blocks") + more)
     everything = Window.partitionBy(F.lit(1)).orderBy("_source")
     t = t.withColumn("_total", F.sum("_quota").over(Window.partitionBy(F.lit(1)))).withColumn("_upto", F.sum("_quota").over(everything))
     t = t.withColumn("_lo", F.floor((F.col("_upto") - F.col("_quota")) / F.col("_total") * _UNIT).cast("long")).withColumn("_hi", F.floor(F.col("_upto") / F.col("_total") * _UNIT).cast("long"))
@@ -96,20 +100,28 @@ def draws(targets: DataFrame, block: int, shard_slots: int, seed: int, few: bool
     b = t.join(got, "_source", "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
     b = b.withColumn("_more", F.greatest(F.col("_got") - F.col("_quota"), F.lit(0))).withColumn("_less", F.greatest(F.col("_quota") - F.col("_got"), F.lit(0)))
     b = b.withColumn("_more_at", F.sum("_more").over(everything) - F.col("_more")).withColumn("_less_at", F.sum("_less").over(everything) - F.col("_less"))
-    b = b.select("_source", "_quota", "_blocks", "_got", "_less", "_more_at", "_less_at")
+    own = ["_blocks", "_whole", "_rest", "_last"]
+    b = b.select("_source", "_quota", *own, "_got", "_less", "_more_at", "_less_at")
 
     j = numbered.join(_small(b, few), "_source")
-    inside = j.where("_j < _quota").select("_source", "_shard", "_j", "_blocks")
+    inside = j.where("_j < _quota").select("_source", "_shard", "_j", *own)
     extra = j.where("_j >= _quota").select(F.col("_shard"), (F.col("_more_at") + F.col("_j") - F.col("_quota")).alias("_e"))
     gaps = b.where("_less > 0").withColumn("_d", F.explode(F.expr("sequence(0L, _less - 1)")))
-    gaps = gaps.select("_source", (F.col("_got") + F.col("_d")).alias("_j"), (F.col("_less_at") + F.col("_d")).alias("_e"), "_blocks")
-    moved = extra.join(gaps, "_e").select("_source", "_shard", "_j", "_blocks")
+    gaps = gaps.select("_source", (F.col("_got") + F.col("_d")).alias("_j"), (F.col("_less_at") + F.col("_d")).alias("_e"), *own)
+    moved = extra.join(gaps, "_e").select("_source", "_shard", "_j", *own)
     all_slots = inside.unionByName(moved)
 
     side = F.ceil(F.sqrt(F.col("_blocks").cast("double"))).cast("long")
     keyed = all_slots.withColumns({"_epoch": F.expr("_j div _blocks"), "_x": F.expr("_j % _blocks"), "_a": side, "_b": F.ceil(F.col("_blocks") / side).cast("long")})
     keyed = keyed.withColumn("_key", F.xxhash64(F.lit(seed), "_source", "_epoch"))
-    return keyed.withColumn("_block", permuted("_x", "_blocks", "_a", "_b", "_key")).select("_source", "_block", "_epoch", "_shard")
+    placed = cut(keyed.withColumn("_block", permuted("_x", "_blocks", "_a", "_b", "_key")).select("_source", "_shard", "_epoch", "_x", "_block", *own), "mix-slots")
+    short = (F.col("_block") == F.col("_blocks") - 1) & (F.col("_epoch") == F.col("_whole"))
+    at = placed.where(short).select("_source", F.col("_x").alias("_short"))  # one a source at most
+    size = F.when(F.col("_block") == F.col("_blocks") - 1, F.col("_last")).otherwise(F.lit(block))
+    before = F.col("_x") * block - F.when(F.col("_x") > F.col("_short"), block - F.col("_last")).otherwise(F.lit(0))
+    take = F.when(F.col("_epoch") < F.col("_whole"), size).otherwise(F.greatest(F.lit(0), F.least(size, F.col("_rest") - before)))
+    cut_off = placed.join(_small(at, few), "_source", "left").withColumn("_take", take).where("_take > 0")
+    return cut_off.select("_source", "_block", "_epoch", "_shard", "_take", (F.col("_take") == size).alias("_whole_block"))
 
 
 def mix(
@@ -147,10 +159,12 @@ def mix(
     few = targets.count() <= BROADCAST_SOURCES
     pieces = _pieces(rows, block)
     drawn = draws(targets, block, shard_slots, seed, few)
-    taken = pieces.join(drawn, ["_source", "_block"]).select("_k1", "_k2", "_copy", "_at", "_words", F.col("_epoch").alias("epoch"), F.col("_shard").alias("out_shard"))
+    some = F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_take") - F.col("_off")))
+    taken = pieces.join(drawn, ["_source", "_block"]).withColumn("_words", some).where("_words > 0").select("_k1", "_k2", "_copy", "_at", "_words", F.col("_epoch").alias("epoch"), F.col("_shard").alias("out_shard"))
 
-    times = drawn.groupBy("_source", "_block").agg(F.count(F.lit(1)).alias("_times"))
-    words_taken = pieces.join(times, ["_source", "_block"]).groupBy("_k1", "_k2", "_copy").agg(F.sum(F.col("_words") * F.col("_times")).alias("_taken"))
+    times = drawn.groupBy("_source", "_block").agg(F.count_if("_whole_block").alias("_times"), F.max(F.when(~F.col("_whole_block"), F.col("_take"))).alias("_take"))  # one cut slot a source at most
+    every = F.col("_words") * F.col("_times") + F.when(F.col("_take").isNotNull(), some).otherwise(F.lit(0))
+    words_taken = pieces.join(times, ["_source", "_block"]).groupBy("_k1", "_k2", "_copy").agg(F.sum(every).alias("_taken"))
     per_source = targets.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     out = df.join(_small(per_source, few), "_source").join(words_taken, ["_k1", "_k2", "_copy"], "left")
     return out.withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_taken", "_source"), taken

@@ -160,3 +160,12 @@ def test_mix_counts_are_spread_over_shards(spark):
         per[x["out_shard"]] = x["n"]
     sizes = np.array([per[k] for k in sorted(per)][:-1])
     assert len(sizes) > 5 and (abs(sizes - sizes.mean()) < 0.1 * sizes.mean()).all()
+
+
+def test_small_sources_reach_their_targets(spark):
+    r = random.Random(21)
+    rows = [(3 * i + k, f"s{i:03}", " ".join(["w"] * r.randrange(3, 60))) for i in range(300) for k in range(r.randrange(1, 4))] + [(5000 + i, "s000", " ".join(["w"] * 400)) for i in range(60)]
+    mixed, taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    out = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert len(out) == 300 and all(abs(x["t"] - x["target"]) <= 0.5 + 1e-6 and x["most"] <= 2 for x in out)
+    assert taken.agg(F.sum("_words")).first()[0] == sum(x["t"] for x in out)
