@@ -44,7 +44,7 @@ def search_messages(messages: DataFrame, index: DataFrame, text: str = "", sende
     """Live messages by words, part of the sender, all of some labels and time; the newest first."""
     df = _narrowed(messages.where("deleted_at IS NULL"), {}, ("internal_ts", since), ("internal_ts", until))
     if sender:
-        df = df.where(F.col("from_addr").ilike(f"%{sender.replace('%', '').replace('_', '')}%"))
+        df = df.where(F.lower("from_addr").contains(sender.lower()))
     for label in labels or []:
         df = df.where(F.array_contains("labels", label))
     if wanted := search.query_tokens(text):
@@ -77,7 +77,7 @@ def conflicts(occurrences: DataFrame, since: int, until: int, limit: int = MOST,
 
 def entity(transactions: DataFrame, name: str, since=None, until=None, limit: int = 20) -> dict[str, Result]:
     """Totals by currency and kind, and the latest rows, of the counterparties that hold a name; similar names if there are none."""
-    df = _narrowed(transactions.where(F.col("entity_name").ilike(f"%{name}%")), {}, ("date", since), ("date", until))
+    df = _narrowed(transactions.where(F.lower("entity_name").contains(name.lower())), {}, ("date", since), ("date", until))
     totals = df.groupBy("currency", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min("date").alias("first"), F.max("date").alias("last"))
     out = {"totals": answer(totals, MOST, F.col("currency"), F.col("kind")), "rows": answer(df, limit, F.desc("date"), F.col("message_id"))}
     if not out["rows"].rows:

@@ -55,11 +55,11 @@ def sharing(permissions: Column, owner: str) -> Column:
     )
 
 
-def with_freshness(df: DataFrame, synced: str, now: int, stale_after: int) -> DataFrame:
-    """One row: the last sync, its age in seconds and whether it is stale."""
-    last = df.agg(F.max(synced).alias("synced_at"))
+def with_freshness(df: DataFrame, synced: str, now: int, stale_after: int, *group: str) -> DataFrame:
+    """One row, or one a group: the last sync, its age in seconds and whether it is stale."""
+    last = df.groupBy(*group).agg(F.max(synced).alias("synced_at"))
     age = F.lit(now) - F.col("synced_at")
-    return last.select("synced_at", age.alias("age"), (F.col("synced_at").isNull() | (age > stale_after)).alias("is_stale"))
+    return last.select(*group, "synced_at", age.alias("age"), (F.col("synced_at").isNull() | (age > stale_after)).alias("is_stale"))
 
 
 def reply_targets(messages: DataFrame, known: DataFrame, id: str, subject: str, references: str, tag: str = r"\[#([0-9]+)\]") -> DataFrame:  # noqa: A002

@@ -116,3 +116,28 @@ def mode_of(df: DataFrame, group: list[str], value: str, accept: Column | None =
     liked = F.lit(0) if accept is None else F.when(accept, 0).otherwise(1)
     best = F.min_by(F.col(value), F.struct(liked, -F.col("_n"), F.col(value)))
     return counted.groupBy(*group).agg(best.alias(value))
+
+
+def merged_census(received: DataFrame, sent: DataFrame, key: str) -> DataFrame:
+    """One row a key of either source: what came in (n), what went out (sent), and whether both did (replied)."""
+    a = received.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    b = sent.groupBy(key).agg(F.count(F.lit(1)).alias("sent"))
+    j = a.join(b, key, "full")
+    return j.select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sent", F.lit(0)).alias("sent"), (F.col("n").isNotNull() & F.col("sent").isNotNull()).alias("replied"))
+
+
+def nested_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, counts): a map from each value to its number of rows; counted before the maps are made."""
+    per = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "_n")))).alias("counts"))
+
+
+def escalations(df: DataFrame, sender: str, reason: str, at: str, id: str) -> DataFrame:  # noqa: A002
+    """(sender, n, reason, last): how many rows wait of each sender, and the reason of the last."""
+    return df.groupBy(sender).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.col(reason), F.struct(at, id)).alias("reason"), F.max(at).alias("last"))
+
+
+def child_lists(parents: DataFrame, key: str, children: DataFrame, value: str, name: str) -> DataFrame:
+    """parents with an array of their children's values, in order; gathered before the join, empty where there are none."""
+    lists = children.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
+    return parents.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))

@@ -6,21 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_template(messages: DataFrame, rules: DataFrame, sender: str) -> DataFrame:
+    """messages with `_t`: rule, action, kind, value and confidence of their sender's first rule that fits, else null.
+
+    A sender's rules are gathered in their order, so a message meets them in one
+    join, with nothing to sort or to join back.
+    """
+    r = F.struct("rule_order", "field", "pattern", "action", "kind", "value", "confidence")
+    per = rules.groupBy(F.col("sender").alias(sender)).agg(F.array_sort(F.collect_list(r)).alias("_rules"))
+    text = lambda x: F.coalesce(F.when(x["field"] == "snippet", F.col("snippet")).otherwise(F.col("subject")), F.lit(""))
+    first = F.get(F.filter("_rules", lambda x: F.regexp_like(text(x), x["pattern"])), 0)
+    j = messages.join(per, sender, "left").withColumn("_f", first)
+    f = F.col("_f")
+    value = F.when(f["value"] == "$1", F.call_function("regexp_extract", text(f), f["pattern"], F.lit(1))).otherwise(f["value"])
+    t = F.struct(f["rule_order"].alias("rule"), f["action"].alias("action"), f["kind"].alias("kind"), value.alias("value"), f["confidence"].cast("double").alias("confidence"))
+    return j.withColumn("_t", F.when(f.isNotNull(), t)).drop("_rules", "_f")
+
+
 def first_template(messages: DataFrame, rules: DataFrame, id: str, sender: str) -> DataFrame:  # noqa: A002
     """Each message's first matching rule of its sender: id, rule, action, kind, value and confidence.
 
     rules(sender, rule_order, field, pattern, action, kind, value, confidence);
     `field` names subject or snippet; value is a constant, or the pattern's
-    first group for '$1'. A table of rules is joined by sender, so its size
-    doesn't matter.
+    first group for '$1'.
     """
-    r = rules.withColumnsRenamed({"sender": "_sender"})
-    j = messages.join(r, F.col(sender) == F.col("_sender"))
-    text = F.coalesce(F.when(F.col("field") == "snippet", F.col("snippet")).otherwise(F.col("subject")), F.lit(""))
-    hit = j.where(F.regexp_like(text, F.col("pattern")))
-    value = F.when(F.col("value") == "$1", F.expr("regexp_extract(CASE WHEN field = 'snippet' THEN snippet ELSE subject END, pattern, 1)")).otherwise(F.col("value"))
-    w = Window.partitionBy(id).orderBy("rule_order")
-    return hit.withColumn("_value", value).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(id, F.col("rule_order").alias("rule"), "action", "kind", F.col("_value").alias("value"), "confidence")
+    return _with_template(messages, rules, sender).where(F.col("_t").isNotNull()).select(id, "_t.*")
 
 
 def cascade(messages: DataFrame, classes: DataFrame, rules: DataFrame, generic: Column, id: str, sender: str) -> DataFrame:  # noqa: A002
@@ -30,13 +40,12 @@ def cascade(messages: DataFrame, classes: DataFrame, rules: DataFrame, generic:
     escalates; L2 is `generic`, a struct(action, kind, value, confidence).
     """
     c = classes.select(F.col("sender").alias(sender), F.col("class").alias("_class"))
-    known = messages.join(c, sender, "left").withColumn("_class", F.coalesce("_class", F.lit("unknown")))
-    tpl = first_template(known.where("_class <> 'marketing'"), rules, id, sender)
-    j = known.join(tpl.select(id, F.struct("action", "kind", "value", F.col("confidence").cast("double").alias("confidence")).alias("_t")), id, "left")
-    ended = F.col("_class") == "marketing"
-    by_template = F.col("_t.action").isin("extract", "terminate")
+    j = _with_template(messages.join(c, sender, "left"), rules, sender)
+    ended = F.coalesce(F.col("_class") == "marketing", F.lit(False))
+    by_template = F.coalesce(F.col("_t.action").isin("extract", "terminate"), F.lit(False))
     lane = F.when(ended, "L0").when(by_template, "L1").otherwise("L2")
-    out = F.when(by_template, F.col("_t")).otherwise(generic)
+    own = F.struct(*[F.col(f"_t.{f}").alias(f) for f in ("action", "kind", "value", "confidence")])
+    out = F.when(by_template, own).otherwise(generic)
     pick = {f: F.when(~ended, out[f]) for f in ("kind", "value", "confidence")}
     return j.withColumns({"lane": lane, "action": F.when(ended, "terminate").otherwise(out["action"]), **pick}).select(*messages.columns, "lane", "action", "kind", "value", "confidence")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.functions.text import unaccented
+from brinewell.functions.text import unaccented, unaccented_str
 
 K1, B = 1.2, 0.75
 
@@ -18,10 +18,8 @@ def tokens(text: Column) -> Column:
 def query_tokens(text: str) -> list[str]:
     """A query's distinct tokens; no operator of it reaches the engine."""
     import re
-    import unicodedata
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", plain) if t))
+    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", unaccented_str(text).lower()) if t))
 
 
 def postings(docs: DataFrame, id: str, text: str) -> DataFrame:  # noqa: A002
@@ -29,6 +27,22 @@ def postings(docs: DataFrame, id: str, text: str) -> DataFrame:  # noqa: A002
     return docs.select(F.col(id).alias("id"), F.explode(tokens(F.col(text))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def postings_of(docs: DataFrame, id: str, text: str, wanted: list[str]) -> DataFrame:  # noqa: A002
+    """(id, size, hits): a text's number of tokens, and those of them that are wanted; what one query needs where no index is kept."""
+    t = tokens(F.col(text))
+    return docs.select(F.col(id).alias("id"), let(t, lambda w: F.struct(F.size(w).alias("size"), F.filter(w, lambda x: x.isin(*wanted)).alias("hits"))).alias("_t")).select("id", "_t.size", "_t.hits")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def index_of(slim: DataFrame) -> DataFrame:
+    """(token, id, tf) of ``postings_of``."""
+    return slim.select("id", F.explode("hits").alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def refreshed(index: DataFrame, changed: DataFrame, id: str, text: str, gone: DataFrame | None = None) -> DataFrame:  # noqa: A002
     """The index after changed texts (replaced whole) and removed ids."""
     ids = changed.select(F.col(id).alias("id"))

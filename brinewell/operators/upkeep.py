@@ -109,3 +109,20 @@ def receipts(requests: DataFrame, stored: DataFrame, key: list[str], body: str)
     have = stored.select(*key, F.col("digest").alias("_have"))
     r = requests.withColumn("digest", F.sha2(F.col(body), 256)).join(have, key, "left")
     return r.withColumn("outcome", F.when(F.col("_have").isNull(), "new").when(F.col("_have") == F.col("digest"), "replay").otherwise("conflict")).drop("_have")
+
+
+def insert_where(stored: DataFrame, incoming: DataFrame, parents: DataFrame, parent: list[str], key: list[str]) -> DataFrame:
+    """stored and the incoming rows whose parent exists and whose key is new."""
+    new = incoming.join(parents.select(*parent).distinct(), parent, "left_semi").join(stored.select(*key), key, "left_anti")
+    return stored.unionByName(new)
+
+
+def purged(parents: DataFrame, key: str, old: Column, *children: DataFrame) -> list[DataFrame]:
+    """The parents that aren't old, and the rows of each child table that belong to one of them."""
+    kept = parents.where(~F.coalesce(old, F.lit(False)))
+    return [kept, *[c.join(kept.select(key), key, "left_semi") for c in children]]
+
+
+def triaged(changes: DataFrame, removed: Column, excluded: Column) -> DataFrame:
+    """changes with `change`: remove, exclude (what the source holds but we don't) or upsert."""
+    return changes.withColumn("change", F.when(removed, "remove").when(excluded, "exclude").otherwise("upsert"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brinewell.functions import text as fx
 from brinewell.operators import measures, names, search
 from brinewell.plans.registry import query
-from brinewell.session import table
+from brinewell.session import cut, table
 
 
 @query("""SELECT doc_id, key, value FROM (
@@ -142,7 +142,9 @@ def _index(spark, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc_id FROM tok WHERE token IN ('the', 'tion', 'with') GROUP BY doc_id HAVING count(DISTINCT token) = 3")
 def fts_and_match(spark, sf_dir):  # T-01, T-02, T-03, J-04
-    return search.match_all(_index(spark, sf_dir), search.query_tokens("The +tion; with*")).withColumnRenamed("id", "doc_id")
+    wanted = search.query_tokens("The +tion; with*")
+    found = search.postings_of(table(spark, sf_dir, "documents"), "doc_id", "text", wanted)
+    return search.match_all(search.index_of(found), wanted).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT doc_id, max(token = 'lice') AND max(token = 'thea') AS a, max(token LIKE 'lice%') AND max(token LIKE 'thea%') AS b, max(token LIKE 'lice%') OR max(token LIKE 'thea%') AS c FROM tok GROUP BY doc_id)
@@ -156,7 +158,9 @@ def fts_widening(spark, sf_dir):  # T-04
 d AS (SELECT token, count(*) AS df FROM p WHERE token IN ('license', 'software') GROUP BY 1)
 SELECT doc_id, CAST(round(1000 * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / a)))) AS BIGINT) AS score FROM p JOIN d USING (token) JOIN s USING (doc_id), c GROUP BY doc_id""")
 def fts_bm25(spark, sf_dir):  # T-05
-    r = search.ranked(_index(spark, sf_dir), ["license", "software"])
+    wanted = ["license", "software"]
+    slim = cut(search.postings_of(table(spark, sf_dir, "documents"), "doc_id", "text", wanted), "search-hits")
+    r = search.ranked(search.index_of(slim), wanted, slim.where("size > 0").select("id", "size"))
     return r.select(F.col("id").alias("doc_id"), F.round(F.col("score") * 1000).cast("long").alias("score"))
 
 
