@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brinewell.llm.common import without
+from brinewell.session import cut
 
-#: Most bytes of item text in one automaton, and so in one broadcast; larger sets are scanned in parts.
-MAX_ITEM_BYTES = 8 << 20
+#: Most bytes of item text in one automaton, and so in one broadcast; larger sets take a pass over the texts for each part.
+MAX_ITEM_BYTES = 4 << 20
 #: Byte to byte: A-Z to a-z, other ASCII that is no word character to a space, the rest as it is.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -27,46 +28,46 @@ def fold(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-def windows(text: str | None, n: int) -> list[bytes]:
-    """The n-word windows of an item; of one with fewer words, but not none, the whole."""
-    w = fold(text).split()
-    return [b" %b " % b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
-
-
-def _automaton(items: list[tuple[str, str]], n: int):
-    import ahocorasick
-
-    holders: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for w in windows(text, n):
-            holders.setdefault(w, (w.count(b" ") - 1, set()))[1].add(item)
-    a = ahocorasick.Automaton()
-    for w, (size, ids) in holders.items():
-        a.add_word(w.decode("latin-1"), (size, sorted(ids)))
-    a.make_automaton()
-    return a if holders else None
-
-
-def scan(automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words of a text, its hit word ranges (merged, end exclusive) and the items found, in one pass."""
-    w = fold(text).split()
-    if automaton is None or not w:
-        return len(w), [], set()
-    joined = b" %b " % b" ".join(w)
-    spans, items, gaps = [], set(), None
-    for end, (size, ids) in automaton.iter(joined.decode("latin-1")):
-        if gaps is None:
-            gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        last = int(np.searchsorted(gaps, end))  # words before the closing space
-        spans.append((last - size, last))
-        items.update(ids)
-    merged: list[tuple[int, int]] = []
+class Automaton:
+    """Aho-Corasick over words: its symbols are the numbers of the items' words, 0 is any other word."""
+
+    def __init__(self, items: list[tuple[str, str]], n: int):
+        import ahocorasick
+
+        self.number: dict[bytes, int] = {}
+        holders: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in fold(text).split())
+            for i in range(max(1, len(w) - n + 1)) if w else ():
+                holders.setdefault(w[i : i + n], set()).add(item)
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, ids in holders.items():
+            self.trie.add_word(w, (len(w), sorted(ids)))
+        if holders:
+            self.trie.make_automaton()
+        self.empty = not holders
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Words of a text, its hit word ranges (end exclusive, in order of their ends) and the items found, in one pass."""
+        w = fold(text).split()
+        if self.empty or not w:
+            return len(w), [], set()
+        get, spans, items = self.number.get, [], set()
+        for last, (size, ids) in self.trie.iter(tuple([get(x, 0) for x in w])):
+            spans.append((last + 1 - size, last + 1))
+            items.update(ids)
+        return len(w), spans, items
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
-        if merged and s <= merged[-1][1]:
-            merged[-1] = merged[-1][0], max(e, merged[-1][1])
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
         else:
-            merged.append((s, e))
-    return len(w), merged, items
+            out.append((s, e))
+    return out
 
 
 def byte_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -80,10 +81,11 @@ def byte_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, with_clean: bool = False) -> DataFrame:
     """Adds n_words, n_hit, leak_items (sorted strings), leak_spans (byte ranges of the original text) and, on request, clean_text.
 
-    The items' windows go into one Aho-Corasick automaton per max_item_bytes of
-    item text: that size is measured first, and a larger set is dealt by hash
-    into parts that are scanned one after another, so that what is broadcast
-    and held in memory stays bounded; the parts' finds are united.
+    The items' windows go into one Aho-Corasick automaton over words. Its size
+    is bounded by max_item_bytes of item text, which is measured first; a larger
+    set is dealt by hash into parts, each with an automaton and a written pass
+    over the texts of its own, which adds its finds to those before. So one
+    part is broadcast and held at a time, and built once a worker.
 
     A null or empty text has no words and no hit; null item ids and items
     without words are passed over; repeated items and documents each count as
@@ -98,41 +100,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-int(total) // max_item_bytes))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
-    sets = [spark.sparkContext.broadcast(sorted({(r["i"], r["t"]) for r in rows.where(F.col("p") == p).select("i", "t").toLocalIterator()})) for p in range(parts)]
-    key = hashlib.sha256(repr((n, [s.value for s in sets])).encode()).hexdigest()
-    names = df.columns
-    k = names.index(text)
+    names, run_id = df.columns, uuid.uuid4().hex
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+    found = df.withColumns({"_leak_words": F.lit(0).cast("long"), "_leak_ranges": F.array().cast(T.ArrayType(span)), "_leak_items": F.array().cast("array<string>")})
+    for p in range(parts):
+        part = sorted({(r["i"], r["t"]) for r in rows.where(F.col("p") == p).select("i", "t").toLocalIterator()})
+        found = _pass(found, text, n, spark.sparkContext.broadcast(part), f"{run_id}-{p}")
+        if p < parts - 1:
+            found = cut(found, "leaks")
+
     fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("leak_items", T.ArrayType(T.StringType())), ("leak_spans", T.ArrayType(span))]
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, t) for c, t in fields + [("clean_text", T.StringType())] * with_clean]])
+    k = names.index(text)
 
-    def automaton(p: int):
-        if (key, p) not in _built:
-            if len(_built) >= 4:
-                _built.clear()
-            _built[key, p] = _automaton(sets[p].value, n)
-        return _built[key, p]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(k).to_pylist()
-            found: list[tuple[list, set]] = [([], set()) for _ in texts]
-            counts = [0] * len(texts)
-            for p in range(parts):
-                a = automaton(p)
-                for i, t in enumerate(texts):
-                    counts[i], ranges, ids = scan(a, t)
-                    found[i][0].extend(ranges)
-                    found[i][1].update(ids)
             hits, spans, clean = [], [], []
-            for t, (ranges, _) in zip(texts, found, strict=True):
-                marked = sorted(set(ranges))
-                whole: list[tuple[int, int]] = []
-                for s, e in marked:
-                    if whole and s <= whole[-1][1]:
-                        whole[-1] = whole[-1][0], max(e, whole[-1][1])
-                    else:
-                        whole.append((s, e))
+            ranges = b.column(len(names) + 1).to_pylist()
+            for i, r in enumerate(ranges):
+                if not r and not with_clean:
+                    hits.append(0)
+                    spans.append([])
+                    continue
+                t = b.column(k)[i].as_py()
+                whole = united([(x["start"], x["stop"]) for x in r])
                 hits.append(sum(e - s for s, e in whole))
                 at = byte_spans(t, whole)
                 spans.append([{"start": s, "stop": e} for s, e in at])
@@ -140,13 +131,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text
                     raw = (t or "").encode()
                     edges = [0, *[x for p in at for x in p], len(raw)]
                     clean.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)).decode() if at else t)
-            cols = [b.column(i) for i in range(len(names))]
-            cols += [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(f[1]) for f in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
-            if with_clean:
-                cols.append(pa.array(clean, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            items = [sorted(set(x)) for x in b.column(len(names) + 2).to_pylist()]
+            cols = [*[b.column(i) for i in range(len(names))], b.column(len(names)), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(clean, pa.string())] * with_clean, names=schema.names)
+
+    return found.mapInArrow(told, schema)
 
-    return df.mapInArrow(run, schema)
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _pass(found: DataFrame, text: str, n: int, items, key: str) -> DataFrame:
+    """found with the hits of some items added to its last three columns: words, ranges (of words) and items."""
+    k, last = found.columns.index(text), len(found.columns) - 3
+    names = found.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _built:
+            _built.clear()
+            _built[key] = Automaton(items.value, n)
+        a = _built[key]
+        for b in batches:
+            words, ranges, ids = [], b.column(last + 1).to_pylist(), b.column(last + 2).to_pylist()
+            for i in range(b.num_rows):
+                count, spans, got = a.scan(b.column(k)[i].as_py())
+                words.append(count)
+                if spans:
+                    ranges[i] = [*ranges[i], *({"start": s, "stop": e} for s, e in united(spans))]
+                    ids[i] = [*ids[i], *got]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(last)], pa.array(words, pa.int64()), pa.array(ranges, _SPANS), pa.array(ids, pa.list_(pa.string()))], names=names)
+
+    return found.mapInArrow(run, found.schema)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
