@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset and the master local (tests)."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder, and executors of a cluster share no local one")
         root = _own[app] = f"file://{tempfile.mkdtemp(prefix='brinewell-')}"
     return f"{root.rstrip('/')}/brinewell/{app}"
 

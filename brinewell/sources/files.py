@@ -121,7 +121,8 @@ def duration_seconds(c: Column) -> Column:
 def write_guarded(df: DataFrame, path: str, least_share: float = 0.8) -> str:
     """Writes a new version below path and points CURRENT at it; refuses an empty one, or one below a share of the last.
 
-    The pointer is written last, so readers see whole versions only.
+    The pointer is a file of its own, renamed last in one step that replaces the
+    old one, so readers see whole versions only.
     """
     spark = df.sparkSession
     old = current(spark, path)
@@ -133,10 +134,15 @@ def write_guarded(df: DataFrame, path: str, least_share: float = 0.8) -> str:
         fs, p = _fs(spark, target)
         fs.delete(p, True)
         raise ValueError(f"refused: {n} rows after {before}")
-    fs, pointer = _fs(spark, f"{path}/CURRENT")
-    out = fs.create(pointer, True)
+    _, new = _fs(spark, f"{target}.pointer")
+    jvm = spark.sparkContext._jvm
+    paths = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    out = _fs(spark, path)[0].create(new, True)
     out.write(bytearray(target.encode()))
     out.close()
+    replace = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    replace[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    paths.rename(new, _fs(spark, f"{path}/CURRENT")[1], replace)
     return target
 
 
