@@ -18,8 +18,9 @@ from brinewell.session import cut
 
 #: Words of the n-grams that route windows, words in an index shard, segments searched at once, and most windows of a segment.
 GRAM, SHARD_WORDS, AT_ONCE, LONGEST = 5, 400_000, 20_000, 64
-#: A routing value with more segments than both limits goes by whole windows instead; so at most 1 / HOT_SHARE values are broadcast.
-HOT_LEAST, HOT_SHARE = 2_000, 1 / 50_000
+#: A routing value with more segments than MOST goes by whole windows instead, on a corpus of any size. Such values are broadcast as a map of MAP_BITS bits (8 MB);
+#: a value that shares a bit with one goes the same way, which changes the route of its windows, but not the result.
+MOST, MAP_BITS = 2_000, 1 << 26
 _U = np.uint64
 _LAST = 2**63 - 1
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -59,8 +60,8 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray, with_content: bool = Tr
 
     Equal windows have equal keys, wherever they stand. weight is 2 where the
     run may hold a window twice. Runs with a key in `hot` fall apart into
-    windows that are keyed by their whole content. Without content and hot keys,
-    the content hashes are 0.
+    windows that are keyed by their whole content; `hot` is a bit map of keys (see
+    ``_hot``), or empty. Without content and hot keys, the content hashes are 0.
     """
     n = len(h) - width + 1
     if n < 1:
@@ -93,7 +94,8 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray, with_content: bool = Tr
     weight[size > span] = 2
     whole = np.zeros(len(key), bool)
     if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        slot = key & _U(64 * len(hot) - 1)
+        is_hot = (hot[slot >> _U(6)] >> (slot & _U(63)) & _U(1)).astype(bool)
         if is_hot.any():
             one = np.repeat(is_hot, size)
             w = np.flatnonzero(one)
@@ -129,6 +131,18 @@ def _counts(docs: DataFrame, width: int, hot) -> DataFrame:
     return docs.mapInArrow(run, "key long, w long").groupBy("key").agg(F.sum("w").alias("w"))
 
 
+def _hot(counts: DataFrame, most: int, bits: int) -> np.ndarray:
+    """The keys of more than `most` segments, as a bit map by their last bits: 64-bit words, at most bits / 64 of them, or none."""
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
+    places = counts.where(F.col("w") > most).select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(key & {min(bits, 64) - 1}L AS int))").alias("bit"))
+    rows = places.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    if not rows.num_rows:
+        return np.empty(0, _U)
+    out = np.zeros(bits // 64, _U)
+    out[rows["word"].to_numpy()] = rows["bit"].to_numpy().view(_U)
+    return out
+
+
 def _occurrences(docs: DataFrame, width: int, hot) -> DataFrame:
     """Every segment: key, content, size, doc (order), version, start."""
 
@@ -219,15 +233,13 @@ def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
     one segment in the whole corpus can't hold a repeated window and goes.
     Segments with the same words are one class in the index, with their first
     place; an occurrence's window is repeated unless it is the first start that
-    the index found for it.
+    the index found for it. No index shard holds more than MOST segments of one
+    routing value.
     """
     sc = docs.sparkSession.sparkContext
     none = sc.broadcast(np.empty(0, _U))
     counts = cut(_counts(docs, width, none).where("w > 1"), "substrings-keys")
-    total = counts.agg(F.sum("w")).first()[0] or 0
-    most = max(HOT_LEAST, int(total * HOT_SHARE))
-    hot_rows = [r["key"] for r in counts.where(F.col("w") > most).select("key").toLocalIterator()]  # total / most values at most
-    hot = sc.broadcast(np.sort(np.array(hot_rows, np.int64).view(_U)))
+    hot = sc.broadcast(_hot(counts, MOST, MAP_BITS))
     known = counts.select("key", F.lit(True).alias("twice"))
     found = cut(_occurrences(docs, width, hot).join(known, "key", "left").where("hot OR twice").drop("hot", "twice"), "substrings-segments")
     classes = cut(found.groupBy("key", "content", "size").agg(F.min(F.struct("doc", "start", "version")).alias("at"), F.count(F.lit(1)).alias("n")), "substrings-classes")
@@ -245,7 +257,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id:
     A word goes when a window of `width` words around it also starts earlier:
     in a document with a smaller id, or in the same document before. A null or
     empty text, or one shorter than a window, loses nothing. Null ids come after
-    all others; rows that share an id are the same document, so a window at the
+    all others, and ids must be numbers (others raise); rows that share an id are the same document, so a window at the
     same start in them is not earlier. Texts of any length are cut into
     segments; an empty table stays empty; input columns called as an output are
     replaced.
