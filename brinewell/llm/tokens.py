@@ -6,17 +6,17 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.llm.common import without
 
-#: Characters that one round of a batch covers, and pieces whose lengths a worker remembers.
-ROUND_CHARS, REMEMBERED = 1 << 21, 400_000
-_PIECE = re.compile(r"\s*\S+|\s+")
-#: White space to this language's library, but not to the tokenizer's: texts with these stay whole.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Bytes that one round of a batch covers, and pieces whose lengths a worker remembers.
+ROUND_BYTES, REMEMBERED = 1 << 21, 400_000
+#: Blanks and what follows up to the next one; \x1c to \x1f are white space to this language's library, but not to the tokenizer's.
+_PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _loaded: dict[str, tuple[object, dict[str, int]]] = {}
 
 
@@ -24,9 +24,10 @@ def pieces(text: str) -> list[str]:
     """text cut wherever a character is followed by white space; joined, the pieces are the text.
 
     The pre-tokenizer never puts a character and the white space after it into
-    one unit, so the pieces' counts add up to the text's, however long it is.
+    one unit, so the pieces' counts add up to the text's, however long it is. A
+    run without white space has no safe boundary and stays one piece.
     """
-    return [text] if _ODD.search(text) else _PIECE.findall(text)
+    return _PIECE.findall(text)
 
 
 def _tokenizer(path: str) -> tuple[object, dict[str, int]]:
@@ -41,27 +42,51 @@ def _tokenizer(path: str) -> tuple[object, dict[str, int]]:
     return _loaded[path]
 
 
-def _round(path: str, texts: list[str]) -> list[int]:
+def _round(path: str, texts: list[list[str]]) -> list[int]:
+    """Tokens of each text, given as its pieces."""
     t, known = _tokenizer(path)
-    cut = [pieces(x) for x in texts]
-    new = list(set().union(*cut).difference(known))
+    new = list(set().union(*texts).difference(known))
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list(set().union(*cut))
+        new = list(set().union(*texts))
     known.update(zip(new, map(len, t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    return [sum(map(known.__getitem__, p)) for p in cut]
+    return [sum(map(known.__getitem__, p)) for p in texts]
 
 
-def _lengths(path: str, texts: list[str]) -> list[int]:
-    """Tokens of each text, in rounds of about equal size; one text longer than a round is a round of its own."""
+def _long(path: str, text: str) -> int:
+    """Tokens of a text of more bytes than a round, in rounds of its pieces."""
+    total, part, size = 0, [], 0
+    for m in _PIECE.finditer(text):
+        part.append(m[0])
+        size += len(m[0].encode("utf-8", "surrogatepass"))
+        if size >= ROUND_BYTES:
+            total += _round(path, [part])[0]
+            part, size = [], 0
+    return total + (_round(path, [part])[0] if part else 0)
+
+
+def _lengths(path: str, texts: pa.Array, sizes: np.ndarray) -> list[int]:
+    """Tokens of each text, in rounds of about equal bytes; only a round's texts are made strings at once."""
     counts: list[int] = []
-    first, size = 0, 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= ROUND_CHARS:
-            counts += _round(path, texts[first : i + 1])
-            first, size = i + 1, 0
-    return counts + (_round(path, texts[first:]) if first < len(texts) else [])
+    first = held = 0
+
+    def upto(end: int) -> None:
+        nonlocal first, held
+        if end > first:
+            counts.extend(_round(path, [pieces(x) for x in texts.slice(first, end - first).to_pylist()]))
+        first, held = end, 0
+
+    for i, size in enumerate(sizes.tolist()):
+        if size > ROUND_BYTES:
+            upto(i)
+            counts.append(_long(path, texts[i].as_py()))
+            first = i + 1
+            continue
+        held += size
+        if held >= ROUND_BYTES:
+            upto(i + 1)
+    upto(len(texts))
+    return counts
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
@@ -70,7 +95,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text") -> Data
     tokenizer_path: a tokenizers .json file at the same path on every node.
     Null texts count as empty (0, 0); other columns pass through untouched, but
     those called n_bytes or n_tokens are replaced; repeated rows are counted
-    each; an empty table stays empty.
+    each; an empty table stays empty. Tasks are cut by bytes of the files (Spark's
+    splits), and within a task rounds by bytes of the texts.
     """
     df = without(df, "n_bytes", "n_tokens")
     keep = [c for c in df.columns if c != text]
@@ -80,8 +106,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index("_text"))
-            n = pa.array(_lengths(tokenizer_path, texts.to_pylist()), pa.int64())
             size = pa.compute.cast(pa.compute.binary_length(texts), pa.int64())
+            n = pa.array(_lengths(tokenizer_path, texts, size.to_numpy()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [size, n], names=[*keep, "n_bytes", "n_tokens"])
 
     return slim.mapInArrow(run, schema)
