@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.llm.common import ascii_lower, without
+from brinewell.session import cut
 
-#: Rules as (host, path, verdict), and public suffixes of two labels.
+#: Rules as (host, path, verdict), and common public suffixes of two labels, where no table of them is given.
 RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -37,15 +38,22 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(u, at + 3)).otherwise("")
 
 
-def suffix_of(host: Column) -> Column:
-    """The host's public suffix: its last label, or two where they are in TWO_LABELS."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
+def registered(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """hosts with suffix, the longest public suffix that the host ends in (its last label where none does), and domain, one label more.
 
-
-def domain_of(host: Column) -> Column:
-    """The registered domain: the public suffix and one label more."""
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    suffixes: a table with a column suffix (``co.uk``, without wildcards); by
+    default TWO_LABELS. A host is dealt to its own endings, so the match is an
+    equi-join of distinct hosts.
+    """
+    if suffixes is None:
+        suffixes = hosts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TWO_LABELS))).alias("suffix"))
+    listed = suffixes.select(F.lower("suffix").alias("_end")).distinct()
+    deepest = listed.agg(F.max(F.size(F.split("_end", r"\.", -1)))).first()[0] or 1  # labels of the longest suffix: longer endings match none
+    ends = hosts.select("host", F.explode(F.sequence(F.lit(1), F.lit(deepest))).alias("_labels")).where(F.col("_labels") <= F.length("host") - F.length(F.translate("host", ".", "")) + 1)
+    ends = ends.withColumn("_end", F.expr("substring_index(host, '.', -_labels)"))
+    best = ends.join(listed, "_end").groupBy("host").agg(F.max("_labels").alias("_labels"))
+    out = hosts.join(best, "host", "left").withColumn("_labels", F.coalesce("_labels", F.lit(1)))
+    return out.withColumns({"suffix": F.expr("substring_index(host, '.', -_labels)"), "domain": F.expr("substring_index(host, '.', -(_labels + 1))")}).drop("_labels")
 
 
 def _rule(host: Column, path: Column, rules) -> Column:
@@ -82,26 +90,29 @@ def _shrunk(df: DataFrame, strength: DataFrame) -> DataFrame:
     return out.withColumn("a", F.col("bad") + F.col("w") * F.col("m")).withColumn("b", F.col("n") - F.col("bad") + F.col("w") * (1 - F.col("m"))).drop("w")
 
 
-def reputation(outcomes: DataFrame, z: float = Z, bad_share: float = BAD_SHARE) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = Z, bad_share: float = BAD_SHARE, suffixes: DataFrame | None = None) -> DataFrame:
     """Per host of outcomes(host, bad): n, n_bad, bad_mean, bad_bound and blocked.
 
     bad: 1, 0 or null (page without a label; it only names its host). Suffixes
     shrink towards the overall share, registered domains towards their suffix,
     hosts towards their domain, each by a beta-binomial prior whose weight comes
     from the data. A host is blocked when the lower bound of its share of bad
-    pages, mean - z deviations of the posterior, is above bad_share.
+    pages, mean - z deviations of the posterior, is above bad_share. (A normal
+    bound: Spark has no quantile of the beta distribution among its functions.)
+    Each level is written once; the levels above the hosts are small, and their
+    measured size lets Spark broadcast them.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("m"), F.lit(1).alias("one"))
+    hosts = cut(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts-counts")
+    hosts = cut(registered(hosts, suffixes), "hosts")
+    domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "hosts-domains")
+    tops = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "hosts-suffixes")
+    overall = tops.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("m"), F.lit(1).alias("one"))
 
-    level = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(overall), "one").drop("one")
+    level = tops.withColumn("one", F.lit(1)).join(F.broadcast(overall), "one").drop("one")
     level = _shrunk(level, _strength(level)).select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    level = domains.join(level, "suffix")
+    level = cut(domains.join(level, "suffix"), "hosts-domains")
     level = _shrunk(level, _strength(level)).select("suffix", "domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    level = hosts.join(level, ["suffix", "domain"])
+    level = cut(hosts.join(level, ["suffix", "domain"]), "hosts")
     level = _shrunk(level, _strength(level))
     total = F.col("a") + F.col("b")
     mean = F.col("a") / total
@@ -109,11 +120,12 @@ def reputation(outcomes: DataFrame, z: float = Z, bad_share: float = BAD_SHARE)
     return level.select("host", "n", F.col("bad").alias("n_bad"), mean.alias("bad_mean"), bound.alias("bad_bound"), (bound > bad_share).alias("blocked"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id: str = "page_id", rules=RULES, z: float = Z, bad_share: float = BAD_SHARE) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id: str = "page_id", rules=RULES, z: float = Z, bad_share: float = BAD_SHARE, suffixes: DataFrame | None = None) -> DataFrame:
     """Adds host, path, rule, verdict, bad_mean and bad_bound to every page.
 
     outcomes: page_id and bad (boolean); several outcomes of a page count as bad
     if one is. The longest fitting rule decides, else the host's reputation.
+    suffixes: a table of public suffixes (see ``registered``).
 
     A null url, or one without ://, has an empty host and path and is judged as
     the host ''; null page ids take no outcome; repeated pages are judged each
@@ -125,7 +137,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id:
     p = without(pages, *added).withColumns({"host": url_host(F.col(f"`{url}`")), "path": url_path(F.col(f"`{url}`"))})
     seen = outcomes.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     known = p.select(F.col(f"`{page_id}`").alias("page_id"), "host").join(seen, "page_id", "left").select("host", "bad")
-    rep = reputation(known, z, bad_share).select("host", "blocked", "bad_mean", "bad_bound")
+    rep = cut(reputation(known, z, bad_share, suffixes).select("host", "blocked", "bad_mean", "bad_bound"), "hosts-reputation")
     rule = _rule(F.col("host"), F.col("path"), rules)
     out = p.join(rep, "host", "left").withColumn("_r", rule)
     return out.withColumns({"rule": F.col("_r.rule"), "verdict": F.coalesce(F.col("_r.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))}).drop("_r", "blocked")
