@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.llm.common import SPACE, let, row_hash, without, words
+from brinewell.session import cut
 
 #: The symbols that count, and white space for translate().
 SYMBOLS, BLANK = "#*$%&|<>", " \t\n\x0b\x0c\r"
+#: White space within a line that is more than a single blank.
+WIDE = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 #: A line is boilerplate when more distinct contents of the host's documents hold it than LINE_DOCS and LINE_SHARE of all of them,
 #: or than LINE_MOST whatever the host's size;
 #: a document is depleted when fewer words than LEAST_WORDS, or less than LEAST_SHARE of them, are left.
@@ -64,13 +67,13 @@ def text_measures(text: Column, window: int = 8) -> Column:
 
 def normal_lines(text: Column) -> Column:
     """struct(h, n) of each line with a word: the hash of the lower-cased line with single blanks, and its words."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)
-    norm = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
+    single = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WIDE, " ")
+    norm = F.transform(F.split(single, "\n", -1), lambda x: F.trim(x))
     return F.transform(F.filter(norm, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
 
-def line_verdicts(df: DataFrame, text: str, host: str, line_docs: int, line_share: float, line_most: int) -> DataFrame:
-    """Per document key (_k1, _k2): the hashes of its boilerplate lines.
+def line_verdicts(lines: DataFrame, line_docs: int, line_share: float, line_most: int) -> DataFrame:
+    """Per document key (_k1, _k2): _bad, the hashes of its boilerplate lines, and _words, the words in them; lines: _k1, _k2, _host, _lines.
 
     A host's distinct document contents are counted per line hash: documents
     with the same set of lines are one content, so whole copies of a document
@@ -79,16 +82,17 @@ def line_verdicts(df: DataFrame, text: str, host: str, line_docs: int, line_shar
     more contents than the limit are joined back in SALT parts, so one very
     common line doesn't land in one task.
     """
-    hosted = df.select("_k1", "_k2", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00none")).alias("_host"), F.array_sort(F.array_distinct(F.transform(normal_lines(F.col(f"`{text}`")), lambda x: x["h"]))).alias("_lines"))
-    exploded = hosted.select("_k1", "_k2", "_host", F.explode("_lines").alias("_line"))
-    contents = hosted.select("_host", "_lines").distinct()
-    counts = contents.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
+    contents = lines.select("_host", F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_set")).distinct()
+    counts = contents.select("_host", F.explode("_set").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
     size = contents.groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
     limit = F.least(F.greatest(F.lit(float(line_docs)), F.col("_docs") * line_share), F.lit(float(line_most)))
     common = counts.where(F.col("_n") > min(line_docs, line_most)).join(size, "_host").where(F.col("_n") > limit).select("_host", "_line")
     salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    exploded = lines.select("_k1", "_k2", "_host", F.posexplode("_lines").alias("_at", "_l")).select("_k1", "_k2", "_host", "_at", F.col("_l.h").alias("_line"), F.col("_l.n").alias("_n"))
     held = exploded.withColumn("_salt", F.pmod("_k1", F.lit(SALT)).cast("int")).join(salted, ["_host", "_line", "_salt"])
-    return held.groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_bad"))
+    # a set of places: repeated rows have one key and the same lines
+    found = held.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_at", "_line", "_n")).alias("_gone"))
+    return found.select("_k1", "_k2", F.array_distinct(F.transform("_gone", lambda x: x["_line"])).alias("_bad"), F.aggregate("_gone", F.lit(0).cast("long"), lambda a, x: a + x["_n"]).alias("_words"))
 
 
 def judge_quality(
@@ -113,32 +117,34 @@ def judge_quality(
     A null text counts as empty and fails the base rules; null hosts form one
     host; repeated rows, and whole copies of a text, get the same verdict and
     count once; an empty table stays empty; texts are read whole; input columns
-    called as an output are replaced.
+    called as an output are replaced. Measures and line hashes are written once;
+    only clean_text reads the texts a second time.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "kept", "clean_text")
     df = without(docs, *added)
-    keyed = df.withColumns({"_k1": row_hash(df, 41), "_k2": row_hash(df, 42)})
-    common = line_verdicts(keyed, text, host, line_docs, line_share, line_most)
-    t = F.col(f"`{text}`")
-    slim = not with_clean
-    base = keyed.withColumn("_m", text_measures(t)).withColumn("_lines", normal_lines(t))
-    if slim:
-        base = base.drop(text)
-    j = base.join(common, ["_k1", "_k2"], "left")
-    j = j.withColumn("_bad", F.coalesce("_bad", F.array().cast("array<bigint>")))
-    gone = F.aggregate(F.filter("_lines", lambda x: F.array_contains("_bad", x["h"])), F.lit(0), lambda a, x: a + x["n"]).cast("long")
+    t = F.col("_t")
+    host_key = F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00none"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if with_clean or c != text])
+    keyed = df.select(row.alias("_row"), F.col(f"`{text}`").alias("_t"), host_key.alias("_host"), row_hash(df, 41).alias("_k1"), row_hash(df, 42).alias("_k2"))
+    if with_clean:
+        base = keyed.select("_row", "_t", "_k1", "_k2", text_measures(t).alias("_m"))
+        lines = cut(keyed.select("_k1", "_k2", "_host", normal_lines(t).alias("_lines")), "quality-lines")
+    else:
+        base = lines = cut(keyed.select("_row", "_k1", "_k2", "_host", text_measures(t).alias("_m"), normal_lines(t).alias("_lines")), "quality-lines")
+        base = base.drop("_host", "_lines")
+    j = base.join(line_verdicts(lines, line_docs, line_share, line_most), ["_k1", "_k2"], "left")
+    j = j.withColumns({"_bad": F.coalesce("_bad", F.array().cast("array<bigint>")), "n_common_words": F.coalesce("_words", F.lit(0).cast("long"))})
     n = F.col("_m.n_words")
     failed = (n < 20) | (100 * F.col("_m.n_repeat_words") > 30 * n)
     left = n - F.col("n_common_words")
     depleted = (F.col("n_common_words") > 0) & ((left < least_words) | (left < n * least_share))
-    out = j.withColumn("n_common_words", F.when(F.size("_bad") > 0, gone).otherwise(F.lit(0).cast("long")))
-    out = out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
+    out = j.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
     new = [F.col(f"_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [F.col(c) for c in ("base_failed", "n_common_words", "kept")]
     if with_clean:
         norm = lambda x: F.xxhash64(F.trim(F.regexp_replace(F.lower(x), SPACE, " ")))
         cleaned = F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~F.array_contains("_bad", norm(x))), "\n")
         new.append(F.when(F.size("_bad") > 0, cleaned).otherwise(t).alias("clean_text"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if with_clean or c != text], *new)
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if with_clean or c != text], *new)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
