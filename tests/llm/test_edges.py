@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,52 @@ def test_pieces_join_to_the_text():
         assert "".join(tokens.pieces(t)) == t
 
 
+def test_rounds_of_long_texts_count_as_the_whole(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(6)
+    texts = ["".join(r.choice(" \n\t 　\x1c\x1f\x85abc,.'1é") for _ in range(r.randrange(900))) for _ in range(60)] + ["", "x" * 700, EDGE_DOCS[5][1]]
+    monkeypatch.setattr(tokens, "ROUND_BYTES", 300)
+    tokenizer, _ = tokens._tokenizer(path)
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokens._lengths(path, pa.array(texts), np.array([len(t.encode()) for t in texts])) == want
+
+
+def test_suffixes_from_a_table(spark):
+    names = ["a.b.kawasaki.jp", "kawasaki.jp", "x.y.co.uk", "co.uk", "", "plain", "a." * 500 + "com"]
+    table = spark.createDataFrame([(h,) for h in names], "host string")
+    listed = spark.createDataFrame([("Kawasaki.jp",), ("b.kawasaki.jp",), ("co.uk",), ("co.uk",)], "suffix string")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in hosts.registered(table, listed).collect()}
+    assert got == {
+        "a.b.kawasaki.jp": ("b.kawasaki.jp", "a.b.kawasaki.jp"), "kawasaki.jp": ("kawasaki.jp", "kawasaki.jp"), "x.y.co.uk": ("co.uk", "y.co.uk"),
+        "co.uk": ("co.uk", "co.uk"), "": ("", ""), "plain": ("plain", "plain"), "a." * 500 + "com": ("com", "a.com"),
+    }
+    own = {r["host"]: (r["suffix"], r["domain"]) for r in hosts.registered(table).collect()}
+    assert own["a.b.kawasaki.jp"] == ("jp", "kawasaki.jp") and own["x.y.co.uk"] == ("co.uk", "y.co.uk")
+
+
+@pytest.mark.parametrize(("most", "bits"), [(3, 64), (3, 1 << 10), (40, 1 << 16), (10**9, 64)])
+def test_routing_values_beyond_the_limit_change_nothing(spark, monkeypatch, most, bits):
+    monkeypatch.setattr(substrings, "MOST", most)
+    monkeypatch.setattr(substrings, "MAP_BITS", bits)
+    r = random.Random(12)
+    passage = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*(r.choice("abc") for _ in range(r.randrange(25))), *passage[r.randrange(4) :], *(r.choice("abc") for _ in range(r.randrange(25)))])) for i in range(60)]
+    out = sorted((x["doc_id"], x["n_words"], x["n_removed"], brute.sha(x["kept_text"])) for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect())
+    assert out == sorted(brute.removed(rows, 6))
+
+
+def test_repeated_rows_and_repeated_lines_of_boilerplate_count_once_a_place(spark):
+    notice = "all rights reserved by the owner"
+    rows = [(i, f"{notice}\nown line number {i} of words " + " ".join(f"own{i}w{k}" for k in range(30)) + f"\n\t{notice}  \n", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, source string").withColumn("_k1", F.lit("mine"))
+    for clean in (False, True):
+        out = quality.judge_quality(docs, with_clean=clean).collect()
+        assert len(out) == 65 and {(r["n_common_words"], r["kept"], r["_k1"]) for r in out} == {(12, True, "mine")}
+    assert all(notice not in r["clean_text"] for r in out)
+
+
 def test_large_groups_of_near_copies(spark):
     r = random.Random(7)
     base = [f"w{r.randrange(400)}" for _ in range(120)]
