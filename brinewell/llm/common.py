@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brinewell.session import cut
+
 #: The six ASCII white-space characters that part words, and A-Z with a-z.
 SPACE = "[ \\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,3 +38,23 @@ def row_hash(df: DataFrame, seed: int = 0) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
+
+
+def ordered(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Adds `_at`, a row's gapless place (from 0) in its group by `order`, and `_of`, the rows of the group.
+
+    Rows are dealt to sorted ranges of (group, order) and written; a place is
+    the row's place in its range plus the group's rows in earlier ranges. So a
+    group may hold any share of the rows: none has to fit in a task, and rows
+    that are equal throughout are parted too (which of them comes first is
+    left open). Null groups are one group. df is read twice, so cut it first.
+    """
+    keys = [F.col(group), *order, F.col("_tie")]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut(ranged.withColumn("_m", F.monotonically_increasing_id()).drop("_tie"), "ordered")  # the range above bit 33, the place in it below
+    placed = placed.withColumn("_range", F.shiftright("_m", 33))
+    runs = placed.groupBy("_range", F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    earlier = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    runs = runs.select(F.col("_range").alias("_r"), "_g", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_g")).alias("_of"))
+    j = placed.join(cut(runs, "ordered-runs"), (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return j.select(*df.columns, (F.col("_m") - F.col("_first") + F.col("_before")).alias("_at"), "_of")

@@ -128,3 +128,64 @@ def near(docs, n=2, percent=80):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return [(d, len(s), find(d), find(d) == d) for d, s in sets.items()]
+
+
+def merkle(docs, fanout=8):
+    """op11 rows of (doc_id, source, lang, n_chars, text)."""
+    coded = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: sha("".join(map(coded, r)))
+    tampered = lambda r: (*r[:4], None if r[4] is None else lower(r[4])) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 else r
+
+    def grow(nodes):
+        """The one node left, and of each of the first ones its runs' (slot, members) up to it."""
+        ways, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            runs = [nodes[i : i + fanout] for i in range(0, len(nodes), fanout)]
+            for k, a in enumerate(at):
+                ways[k].append((a % fanout, runs[a // fanout]))
+                at[k] = a // fanout
+            nodes = [sha("".join(r)) for r in runs]
+        return nodes[0], ways
+
+    def first_null(x):
+        return (x is not None, x)
+
+    langs, below = sorted({r[2] for r in docs}, key=lambda x: (x is not None, (x or "").encode())), {}
+    for x in langs:
+        rows = sorted((r for r in docs if r[2] == x), key=lambda r: (first_null(r[0]), leaf(r)))
+        below[x] = rows, *grow([leaf(r) for r in rows])
+    if not docs:
+        return []
+    root, upper = grow([below[x][1] for x in langs])
+    out = []
+    for x, more in zip(langs, upper, strict=True):
+        rows, subroot, ways = below[x]
+        for r, way in zip(rows, ways, strict=True):
+            h, beside = leaf(tampered(r)), ""
+            for slot, run in way + more:
+                beside += "".join(run[:slot] + run[slot + 1 :])
+                h = sha("".join([*run[:slot], h, *run[slot + 1 :]]))
+            out.append((r[0], leaf(r), subroot, root, sha(beside), h, h == root))
+    return out
+
+
+def resampled(docs, target, n=1, buckets=10000, least=20, percent=10, seed=2024):
+    """op12: (doc_id, n_words, n_features, weight, score, rank)."""
+    from math import floor, log
+
+    def features(t):
+        w = WORD.findall(lower(t))
+        return [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in range(1, n + 1) for i in range(len(w) - k + 1)]
+
+    s, t = Counter(b for _, x in docs for b in features(x)), Counter(b for x in target for b in features(x))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = {b: floor(1000 * log((t[b] + 1.0) * (s_all + buckets) / ((s[b] + 1.0) * (t_all + buckets)))) for b in s}
+    out = []
+    for d, x in docs:
+        f, h = features(x), int(sha(f"{seed}:{'' if d is None else d}")[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append((d, len(WORD.findall(lower(x))), len(f), weight, weight + floor(-1000 * log(-log((h + 0.5) / 4294967296)))))
+    fit = sorted((r for r in out if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0]))
+    drawn = fit[: len(fit) * percent // 100]
+    rest = list((Counter(out) - Counter(drawn)).elements())
+    return [(*r, k + 1) for k, r in enumerate(drawn)] + [(*r, None) for r in rest]
