@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brinewell.llm.common import without
 
@@ -209,7 +210,7 @@ def _mapped(df: DataFrame, column: str, added: dict[str, str], work) -> DataFram
     """df with columns made from one column's values, row by row, in Arrow batches; work gives a list of values for each added column."""
     k = df.columns.index(column)
     kinds = {"binary": pa.binary(), "string": pa.string()}
-    schema = df.schema
+    schema = T.StructType(list(df.schema.fields))
     for c, kind in added.items():
         schema = schema.add(c, kind)
 
