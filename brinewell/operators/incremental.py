@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinewell.session import cut
+
 OVERLAP = 2 * 86_400
 
 
@@ -61,3 +63,38 @@ def changes_of(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     j = old.select(F.col(key), F.col(value).alias("old"), F.lit(True).alias("_o")).join(new.select(F.col(key), F.col(value).alias("new"), F.lit(True).alias("_n")), key, "full")
     op = F.when(F.col("_o").isNull(), "add").when(F.col("_n").isNull(), "remove").otherwise("replace")
     return j.where(F.col("_o").isNull() | F.col("_n").isNull() | ~F.col("old").eqNullSafe(F.col("new"))).select(key, op.alias("op"), "old", "new")
+
+
+def touched_keys(stored: DataFrame, fresh: DataFrame, changed: DataFrame, keys: list[str], id: str) -> DataFrame:  # noqa: A002
+    """The keys whose rows an update changes: those of stored rows of changed ids, and those of the fresh rows."""
+    return stored.join(changed.select(id), id, "left_semi").select(*keys).unionByName(fresh.select(*keys)).distinct()
+
+
+def _on(keys: list[str], right: DataFrame) -> tuple[DataFrame, Column]:
+    """right with its keys renamed, and the condition that they are the same, null with null."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return right.select(*[F.col(k).alias(f"_{k}") for k in keys]), on
+
+
+def relinked(rows: DataFrame, linked: DataFrame, source: DataFrame, seen: DataFrame, id: str, synced: str, floor: int, keys: list[str], extract, link, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: A002
+    """(rows, linked, touched) after this run: as a full run over the source would give them, at the cost of the keys that changed.
+
+    rows, linked: what the last run stored, extracted rows and link(rows);
+    seen: every id that it processed. Rows of ids that are read again or that
+    the source lost make their keys touched, and so do fresh rows. Only the
+    touched keys' rows are linked again; the other keys' links are taken over
+    as they are, because link works on each key's rows alone. Null keys are a
+    key. Ids must not be null; of an id whose rows moved to another key, both
+    keys are touched.
+    """
+    todo = cut(to_process(source, seen, id, synced, floor, overlap), "incremental-todo")
+    lost = rows.select(id).join(source.select(id), id, "left_anti")
+    changed = cut(todo.select(id).unionByName(lost).distinct(), "incremental-changed")
+    fresh = extract(todo)
+    touched = cut(touched_keys(rows, fresh, changed, keys, id), "incremental-keys")
+    renamed, same = _on(keys, touched)
+    kept = rows.join(changed, id, "left_anti")
+    again = link(kept.join(renamed, same, "left_semi").unionByName(fresh))
+    return kept.unionByName(fresh), linked.join(renamed, same, "left_anti").unionByName(again), touched

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewell.functions.text import fold
-from brinewell.operators.names import name_tokens
+from brinewell.operators.names import CONNECTORS, canonical, product_group
+from brinewell.session import cut
 
 #: Sections in the order of a walk through a kind of store.
 LAYOUTS = {
@@ -47,14 +48,54 @@ def item_matches(names: DataFrame, asked: DataFrame, id: str) -> DataFrame:  # n
     return same.union(asked.withColumn("_b", fold(F.col("ask"))).where("_b <> ''").join(begun, "_b").select("ask", id)).distinct()
 
 
-def partial_names(names: DataFrame, asked: DataFrame, id: str, longest: int = 4) -> DataFrame:  # noqa: A002
-    """(ask, id, sure) of names that hold the words asked for in a row; sure: only one does."""
-    w = name_tokens(F.col("name"))
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i + 1)), lambda k: F.array_join(F.slice(w, i, k), " ")))))
-    held = names.where(F.size(w) > 0).select(id, F.explode(runs).alias("_run"))
-    hits = asked.withColumn("_run", F.array_join(name_tokens(F.col("ask")), " ")).where("_run <> ''").join(held, "_run")
-    alone = hits.groupBy("ask").agg((F.count(F.lit(1)) == 1).alias("sure"))
-    return hits.join(alone, "ask").select("ask", id, "sure")
+def match_tokens(name: Column) -> Column:
+    """Folded words without connecting words and bare numbers."""
+    return F.filter(F.split(fold(F.coalesce(name, F.lit(""))), " "), lambda t: (t != "") & ~t.isin(*CONNECTORS) & ~t.rlike("^[0-9]+$"))
+
+
+def partial_names(names: DataFrame, asked: DataFrame, id: str, spellings: DataFrame) -> DataFrame:  # noqa: A002
+    """(ask, id, guarded, sure): the names that an ask without an exact match may mean; sure: only one, and it isn't guarded.
+
+    A name is a candidate if, without its parentheticals, it is the same
+    product as the ask; if the ask is one of its parentheticals, usually the
+    brand; or if it holds the words of the ask in a row. Words are equal if
+    they are the same product by themselves: plurals and the spellings of
+    both languages, but no parts of words. A candidate that isn't the same
+    product is guarded where the ask is a product of its own, so that "milk"
+    isn't taken for "condensed milk".
+
+    names(id, name), asked(ask), spellings(spelling, canonical). An ask's
+    first word finds the places where it may begin, by a join on equal keys,
+    and the words from there on decide: asks of any length match. Null and
+    empty names match nothing; asks without a word give no row; rows that
+    repeat an ask count once, rows that repeat an id each; ties are all told.
+    """
+    asks = asked.select("ask").where("ask IS NOT NULL").distinct()
+    texts = names.select("name").where("name IS NOT NULL").distinct()
+    brands = texts.select("name", F.explode(F.regexp_extract_all("name", F.lit(r"\(([^()]*)\)"), 1)).alias("line"))
+    bare = texts.withColumn("line", F.regexp_replace("name", r"\([^()]*\)", " ")).where(F.size(match_tokens(F.col("line"))) > 0)
+    lines = asks.select(F.col("ask").alias("line")).union(texts.select("name")).union(brands.select("line")).distinct()
+    words = lines.select("line", F.posexplode(match_tokens(F.col("line"))).alias("_i", "word"))
+    # one look-up for words, whole asks and names without parentheticals
+    every = words.select(F.col("word").alias("line")).union(asks.select("ask")).union(bare.select("line")).distinct()
+    keys = cut(canonical(product_group(every, "line", spellings).withColumnRenamed("group", "_known"), "line", spellings, "_known").withColumn("_known", F.col("_known").isNotNull()), "partial-keys")
+    run = F.array_sort(F.collect_list(F.struct("_i", "canonical")))
+    classed = words.join(keys.select(F.col("line").alias("word"), "canonical"), "word").groupBy("line").agg(F.transform(run, lambda x: x["canonical"]).alias("classes"))
+    classed = cut(classed, "partial-classes")
+    spoken = asks.join(classed, F.col("ask") == F.col("line")).select("ask", F.col("classes").alias("_spoken"))
+
+    held = texts.join(classed, F.col("name") == F.col("line")).select("name", "classes", F.posexplode("classes").alias("_i", "_first"))
+    runs = held.join(spoken.withColumn("_first", F.get("_spoken", F.lit(0))), "_first").where(F.slice("classes", F.col("_i") + 1, F.size("_spoken")) == F.col("_spoken"))
+    whole = brands.join(classed, "line").join(spoken.withColumnRenamed("_spoken", "classes"), "classes")
+    asked_keys = spoken.join(keys, F.col("ask") == F.col("line")).select("ask", "canonical", "_known")
+    same = bare.join(keys.select("line", "canonical"), "line").join(asked_keys, "canonical")
+    hits = runs.select("ask", "name", F.lit(False).alias("_same")).union(whole.select("ask", "name", F.lit(False))).union(same.select("ask", "name", F.lit(True)))
+    hits = hits.groupBy("ask", "name").agg(F.max("_same").alias("_same"))
+    known = asked_keys.select("ask", "_known")
+    guarded = F.col("_known") & ~F.col("_same")
+    found = hits.join(known, "ask").select("ask", "name", guarded.alias("guarded")).join(names.select(id, "name"), "name")
+    alone = found.groupBy("ask").agg((F.count(F.lit(1)) == 1).alias("_alone"))
+    return found.join(alone, "ask").select("ask", id, "guarded", (F.col("_alone") & ~F.col("guarded")).alias("sure"))
 
 
 def closed_trip(items: DataFrame, store: str, closing: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,22 +27,6 @@ def postings(docs: DataFrame, id: str, text: str) -> DataFrame:  # noqa: A002
     return docs.select(F.col(id).alias("id"), F.explode(tokens(F.col(text))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def postings_of(docs: DataFrame, id: str, text: str, wanted: list[str]) -> DataFrame:  # noqa: A002
-    """(id, size, hits): a text's number of tokens, and those of them that are wanted; what one query needs where no index is kept."""
-    t = tokens(F.col(text))
-    return docs.select(F.col(id).alias("id"), let(t, lambda w: F.struct(F.size(w).alias("size"), F.filter(w, lambda x: x.isin(*wanted)).alias("hits"))).alias("_t")).select("id", "_t.size", "_t.hits")
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def index_of(slim: DataFrame) -> DataFrame:
-    """(token, id, tf) of ``postings_of``."""
-    return slim.select("id", F.explode("hits").alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def refreshed(index: DataFrame, changed: DataFrame, id: str, text: str, gone: DataFrame | None = None) -> DataFrame:  # noqa: A002
     """The index after changed texts (replaced whole) and removed ids."""
     ids = changed.select(F.col(id).alias("id"))
@@ -84,15 +68,24 @@ def widened(index: DataFrame, wanted: list[str]) -> DataFrame:
     return step.join(F.broadcast(step.agg(F.min("step").alias("step"))), "step").select("id", "step")
 
 
-def ranked(index: DataFrame, wanted: list[str], sizes: DataFrame | None = None) -> DataFrame:
-    """(id, score): BM25 of the documents that hold a term."""
-    sizes = sizes if sizes is not None else index.groupBy("id").agg(F.sum("tf").alias("size"))
-    whole = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("avg_size"))
+def ranked(index: DataFrame, wanted: list[str], sizes: DataFrame | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
+    """(id, score): BM25 of the documents that hold a term.
+
+    index: (token, id, tf), with the documents' numbers of tokens as `size` or
+    in sizes; totals: how many documents have a token, and how many tokens,
+    where the index keeps them.
+    """
+    if "size" not in index.columns:
+        sizes = sizes if sizes is not None else index.groupBy("id").agg(F.sum("tf").alias("size"))
+    if totals is None:
+        totals = tuple(int(x or 0) for x in sizes.agg(F.count(F.lit(1)), F.sum("size")).first())
+    n, average = totals[0], totals[1] / max(totals[0], 1)
     hits = index.where(F.col("token").isin(*wanted))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row a query term
-    j = hits.join(F.broadcast(df), "token").join(sizes, "id").withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
+    j = hits.join(F.broadcast(df), "token")
+    j = j if "size" in index.columns else j.join(sizes, "id")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(average)))
     return j.groupBy("id").agg(F.sum(score).alias("score"))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions import text as fx
-from brinewell.operators import measures, names, search
+from brinewell.operators import measures, names, search, textindex
 from brinewell.plans.registry import query
-from brinewell.session import cut, table
+from brinewell.session import scratch_root, table
+from brinewell.sources.files import stamp
 
 
 @query("""SELECT doc_id, key, value FROM (
@@ -136,22 +140,44 @@ def haversine_radius(spark, sf_dir):  # X-21, IO-12
 TOKENS = """tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9ß]+'), lambda t: t <> '')) AS token FROM documents)"""
 
 
-def _index(spark, sf_dir: str) -> DataFrame:
-    return search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+def kept_index(spark, sf_dir: str) -> textindex.TextIndex:
+    """The full-text index of documents in the shared folder: built by the first search, brought up to date where the files changed, else only opened."""
+    docs = table(spark, sf_dir, "documents")
+    path = f"{scratch_root(spark)}/fts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    now = stamp(docs)
+    index = textindex.opened(spark, path)
+    if index is None:
+        return textindex.built(docs, "doc_id", "text", path, now)
+    return index if index.stamp == now else textindex.synced(index, docs, "doc_id", "text", now)
+
+
+@query(f"WITH {TOKENS} SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_hits FROM tok GROUP BY token")
+def fts_index(spark, sf_dir):  # T-08
+    return kept_index(spark, sf_dir).postings().groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_hits"))
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, count(*) AS n_hits, count(DISTINCT token) AS n_tokens FROM tok WHERE doc_id % 10 <> 2 GROUP BY doc_id")
+def fts_index_upkeep(spark, sf_dir):  # T-08: inserted, changed and deleted documents
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 10
+    path = f"{scratch_root(spark)}/fts-upkeep-{uuid.uuid4().hex}"
+    before = textindex.built(docs.where(k != 0).withColumn("text", F.when(k == 1, F.reverse("text")).otherwise(F.col("text"))), "doc_id", "text", path)
+    after = textindex.synced(before, docs.where(k != 2), "doc_id", "text")
+    return after.postings().groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("n_hits"), F.count(F.lit(1)).alias("n_tokens"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id FROM tok WHERE token IN ('the', 'tion', 'with') GROUP BY doc_id HAVING count(DISTINCT token) = 3")
 def fts_and_match(spark, sf_dir):  # T-01, T-02, T-03, J-04
     wanted = search.query_tokens("The +tion; with*")
-    found = search.postings_of(table(spark, sf_dir, "documents"), "doc_id", "text", wanted)
-    return search.match_all(search.index_of(found), wanted).withColumnRenamed("id", "doc_id")
+    return search.match_all(kept_index(spark, sf_dir).postings(wanted), wanted).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT doc_id, max(token = 'lice') AND max(token = 'thea') AS a, max(token LIKE 'lice%') AND max(token LIKE 'thea%') AS b, max(token LIKE 'lice%') OR max(token LIKE 'thea%') AS c FROM tok GROUP BY doc_id)
 SELECT doc_id, CAST(s AS INTEGER) AS step FROM (SELECT doc_id, 1 AS s FROM w WHERE a UNION ALL SELECT doc_id, 2 FROM w WHERE b AND NOT EXISTS (SELECT 1 FROM w WHERE a)
 UNION ALL SELECT doc_id, 3 FROM w WHERE c AND NOT EXISTS (SELECT 1 FROM w WHERE a OR b))""")
 def fts_widening(spark, sf_dir):  # T-04
-    return search.widened(_index(spark, sf_dir), ["lice", "thea"]).withColumnRenamed("id", "doc_id")
+    wanted = ["lice", "thea"]
+    return search.widened(kept_index(spark, sf_dir).postings(wanted, prefix=True), wanted).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""WITH {TOKENS}, p AS (SELECT token, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), s AS (SELECT doc_id, sum(tf) AS size FROM p GROUP BY 1), c AS (SELECT count(*) AS n, avg(size) AS a FROM s),
@@ -159,14 +185,18 @@ d AS (SELECT token, count(*) AS df FROM p WHERE token IN ('license', 'software')
 SELECT doc_id, CAST(round(1000 * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / a)))) AS BIGINT) AS score FROM p JOIN d USING (token) JOIN s USING (doc_id), c GROUP BY doc_id""")
 def fts_bm25(spark, sf_dir):  # T-05
     wanted = ["license", "software"]
-    slim = cut(search.postings_of(table(spark, sf_dir, "documents"), "doc_id", "text", wanted), "search-hits")
-    r = search.ranked(search.index_of(slim), wanted, slim.where("size > 0").select("id", "size"))
+    index = kept_index(spark, sf_dir)
+    r = search.ranked(index.postings(wanted), wanted, totals=index.totals())
     return r.select(F.col("id").alias("doc_id"), F.round(F.col("score") * 1000).cast("long").alias("score"))
 
 
-@query()
-def fts_snippet(spark, sf_dir):  # T-07: rows only, the brackets have no short SQL form
-    d = table(spark, sf_dir, "documents").where(F.array_contains(search.tokens(F.col("text")), "license"))
+@query(f"""WITH {TOKENS}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IN (SELECT doc_id FROM tok WHERE token = 'license')),
+h AS (SELECT doc_id, ws, list_transform(ws, lambda x: regexp_replace(lower(strip_accents(x)), '[^a-z0-9ß]+', '', 'g') = 'license') AS hit FROM w),
+f AS (SELECT *, greatest(1, coalesce(nullif(list_position(hit, true), 0), 1) - 6) AS a FROM h)
+SELECT doc_id, CASE WHEN a > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(range(a, least(a + 12, len(ws) + 1)), lambda i: CASE WHEN hit[i] THEN '[' || ws[i] || ']' ELSE ws[i] END), ' ') || CASE WHEN a + 12 <= len(ws) THEN ' …' ELSE '' END AS snippet FROM f""")
+def fts_snippet(spark, sf_dir):  # T-07: the stretch around the first hit
+    hits = kept_index(spark, sf_dir).postings(["license"]).select(F.col("id").alias("doc_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(hits, "doc_id", "left_semi")
     return d.select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
 
 

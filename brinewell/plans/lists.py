@@ -72,11 +72,27 @@ def item_matches(spark, sf_dir):  # P-06
     return lists.item_matches(spelled, asked, "p_partkey")
 
 
-@query("""WITH a AS (SELECT * FROM (VALUES ('ring'), ('red widget'), ('small gadget'), ('nothing here')) t(ask)), h AS (SELECT ask, p_partkey FROM a JOIN part ON ' ' || p_name || ' ' LIKE '% ' || ask || ' %') SELECT ask, p_partkey, count(*) OVER (PARTITION BY ask) = 1 AS sure FROM h""")
+#: Spellings of two products and of a word.
+SPELLED = [("ring", "ring"), ("anel", "ring"), ("hot plate", "plate"), ("chapa", "plate"), ("azul", "blue"), ("blue", "blue")]
+ASKS = ["ring", "Aneis", "red widgets", "Brand 7 extra", "anel (azul)", "chapa", "Special Edition", "the blue ring of brand 7 extra large", "nothing here", "12", ""]
+
+
+@query("""WITH n AS (SELECT p_partkey, p_name, p_partkey % 3 AS k, CASE WHEN p_brand = 'Brand#7' AND p_type = 'LARGE' THEN 1 ELSE 0 END AS b FROM part),
+h AS (
+  SELECT a AS ask, p_partkey, true AS guarded FROM n, (VALUES ('ring'), ('Aneis')) t(a) WHERE p_name LIKE '% ring'
+  UNION ALL SELECT 'red widgets', p_partkey, false FROM n WHERE k = 2 AND p_name = 'red widget'
+  UNION ALL SELECT 'Brand 7 extra', p_partkey, false FROM n WHERE k = 1 AND b = 1
+  UNION ALL SELECT 'chapa', p_partkey, p_name <> 'hot plate' FROM n WHERE p_name LIKE CASE k WHEN 2 THEN 'hot plate' ELSE '% plate' END
+  UNION ALL SELECT 'Special Edition', p_partkey, false FROM n WHERE k = 2
+  UNION ALL SELECT 'the blue ring of brand 7 extra large', p_partkey, false FROM n WHERE k = 1 AND b = 1 AND p_name = 'blue ring')
+SELECT ask, p_partkey, guarded, count(*) OVER (PARTITION BY ask) = 1 AND NOT guarded AS sure FROM h""")
 def partial_names(spark, sf_dir):  # X-19, P-08
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    asked = spark.createDataFrame([("ring",), ("Red widget",), ("small gadget",), ("nothing here",)], "ask string")
-    return lists.partial_names(p, asked, "p_partkey").withColumn("ask", F.lower("ask"))
+    k = F.col("p_partkey") % 3
+    extra = F.when((F.col("p_brand") == "Brand#7") & (F.col("p_type") == "LARGE"), " Extra Large").otherwise("")
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.upper("p_name"), F.lit(" ("), F.col("p_brand"), extra, F.lit(")"))).otherwise(F.concat(F.initcap("p_name"), F.lit("s (special édition)")))
+    p = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    asked = spark.createDataFrame([(a,) for a in ASKS], "ask string")
+    return lists.partial_names(p, asked, "p_partkey", spark.createDataFrame(SPELLED, "spelling string, canonical string"))
 
 
 def _items(spark, sf_dir):

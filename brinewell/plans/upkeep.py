@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.operators import incremental, linking, rules, upkeep
 from brinewell.plans.ledger import HOURS_48, RICHEST, events
 from brinewell.plans.registry import query
-from brinewell.session import table
+from brinewell.session import scratch_root, table
+from brinewell.sources.files import exists, stamp
 
 KEY = ["l_orderkey", "l_linenumber"]
 TIES = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -45,6 +48,45 @@ def incremental_equals_full(spark, sf_dir):  # I-01 to I-05, U-02, U-03
     return best.select("event_id", "user_id", "event_type", "value", F.col("anchor").alias("anchor_us"))
 
 
+KEYS = ["user_id", "event_type"]
+#: A later run: what the source received from LATER on, rows about old events that arrive late, and rows that it deleted since.
+LATER, LATE, GONE = 1_706_650_000, "event_id % 997 = 0", "event_id % 1009 = 0"
+
+
+def _events_of(rows: DataFrame) -> DataFrame:
+    linked = linking.link_events(rows, KEYS, "us", HOURS_48)
+    return linking.richest(linked, [*KEYS, "anchor"], F.col("value").isNotNull().desc(), F.col("value").desc(), F.col("event_id"))
+
+
+def _received(spark, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).withColumn("synced", F.expr(f"(us div 1000000) + CASE WHEN {LATE} THEN 4000000 ELSE 0 END"))
+
+
+def _first_run(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, events) of the first run, kept in the shared folder until the source's files change."""
+    source = table(spark, sf_dir, "events")
+    path = f"{scratch_root(spark)}/ledger-{hashlib.sha256((sf_dir + stamp(source)).encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{path}/events/_SUCCESS"):
+        _ledger(_received(spark, sf_dir).where(F.col("synced") < LATER)).write.mode("overwrite").parquet(f"{path}/rows")
+        _events_of(spark.read.parquet(f"{path}/rows")).write.mode("overwrite").parquet(f"{path}/events")
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/events")
+
+
+@query(RICHEST.replace("FROM events)", f"FROM events WHERE event_type <> 'error' AND epoch_us(ts) // 1000000 < {LATER} AND NOT {LATE})") + " SELECT event_id, user_id, event_type, value, anchor AS anchor_us FROM r WHERE k = 1")
+def incremental_first_run(spark, sf_dir):  # I-01, I-06
+    return _first_run(spark, sf_dir)[1].select("event_id", "user_id", "event_type", "value", F.col("anchor").alias("anchor_us"))
+
+
+@query(RICHEST.replace("FROM events)", f"FROM events WHERE event_type <> 'error' AND NOT {GONE})") + " SELECT event_id, user_id, event_type, value, anchor AS anchor_us FROM r WHERE k = 1")
+def incremental_touched_keys(spark, sf_dir):  # I-01 to I-05: after the first run, only the keys that changed are linked again
+    rows, kept = _first_run(spark, sf_dir)
+    received = _received(spark, sf_dir)
+    seen = received.where(F.col("synced") < LATER).select("event_id")
+    live = received.where(f"NOT {GONE}")
+    _, out, _ = incremental.relinked(rows, kept, live, seen, "event_id", "synced", LATER, KEYS, _ledger, _events_of, overlap=0)
+    return out.select("event_id", "user_id", "event_type", "value", F.col("anchor").alias("anchor_us"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN conv_id < 40 THEN '' ELSE text END AS text FROM conversations")
 def retention_blank(spark, sf_dir):  # M-11, F-12
     return upkeep.blanked(table(spark, sf_dir, "conversations"), ["text"], "conv_id", F.lit(40)).select("conv_id", "turn", "text")

@@ -134,16 +134,28 @@ def write_guarded(df: DataFrame, path: str, least_share: float = 0.8) -> str:
         fs, p = _fs(spark, target)
         fs.delete(p, True)
         raise ValueError(f"refused: {n} rows after {before}")
-    _, new = _fs(spark, f"{target}.pointer")
+    point_at(spark, path, target)
+    return target
+
+
+def point_at(spark: SparkSession, path: str, value: str) -> None:
+    """Makes CURRENT below path hold value: a new file, renamed in one step over the old one."""
     jvm = spark.sparkContext._jvm
+    _, new = _fs(spark, f"{path}/{uuid.uuid4().hex}.pointer")
     paths = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     out = _fs(spark, path)[0].create(new, True)
-    out.write(bytearray(target.encode()))
+    out.write(bytearray(value.encode()))
     out.close()
     replace = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
     replace[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
     paths.rename(new, _fs(spark, f"{path}/CURRENT")[1], replace)
-    return target
+
+
+def stamp(table: DataFrame) -> str:
+    """A digest of the names, sizes and times of a table's files; no column is read."""
+    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, total = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    return f"{n}-{total}"
 
 
 def current(spark: SparkSession, path: str) -> str | None:
