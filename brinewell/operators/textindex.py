@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +39,16 @@ class TextIndex:
     docs: int = 0
     total: int = 0
     stamp: str = ""
+    key: str = "bigint"
+
+    def _state(self) -> str:
+        return json.dumps({k: v for k, v in vars(self).items() if k not in ("spark", "path")})
 
     def _alive(self, kind: str, narrow=lambda df: df) -> DataFrame:
         parts = []
         for i, s in enumerate(self.segments):
-            rows = narrow(self.spark.read.parquet(f"{self.path}/{s}/{kind}"))
+            columns = {"postings": "token string, id {}, tf bigint, size bigint, bucket int", "marks": "id {}, mark decimal(30,0), size bigint"}[kind]
+            rows = narrow(self.spark.read.schema(columns.format(self.key)).parquet(f"{self.path}/{s}/{kind}"))
             later = [self.spark.read.parquet(f"{self.path}/{x}/dead") for x in self.segments[i + 1 :]]
             parts.append(rows.join(reduce(DataFrame.unionByName, later).distinct(), "id", "left_anti") if later else rows)
         return reduce(DataFrame.unionByName, parts)
@@ -81,17 +86,16 @@ class TextIndex:
         at = f"{self.path}/{name}"
         # texts are tokenised once, counted once and then put in order
         made = cut(rows.select("id", F.xxhash64("text").alias("mark"), tokens(F.col("text")).alias("_t")), "index-tokens")
-        made.groupBy("id").agg(F.sum("mark").alias("mark"), F.sum(F.size("_t")).cast("long").alias("size")).write.parquet(f"{at}/marks")
+        made.groupBy("id").agg(F.sum(F.col("mark").cast("decimal(20,0)")).alias("mark"), F.sum(F.size("_t")).cast("long").alias("size")).write.parquet(f"{at}/marks")
         sizes = self.spark.read.parquet(f"{at}/marks").select("id", "size")
         counted = made.select("id", F.explode("_t").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf")).join(sizes, "id")
         order = ["bucket", "token", "id"]
         placed = cut(counted.select("token", "id", "tf", "size", _bucket(F.col("token"), self.buckets).alias("bucket")), "index-counts")
         placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{at}/postings")
         (dead if dead is not None else sizes.select("id").limit(0)).write.parquet(f"{at}/dead")
-        new = TextIndex(self.spark, self.path, [*self.segments, name], self.buckets, stamp=stamp)
+        new = TextIndex(self.spark, self.path, [*self.segments, name], self.buckets, stamp=stamp, key=rows.schema["id"].dataType.simpleString())
         new.docs, new.total = (int(x or 0) for x in new.marks().where("size > 0").agg(F.count(F.lit(1)), F.sum("size")).first())
-        state = {"segments": new.segments, "buckets": new.buckets, "docs": new.docs, "total": new.total, "stamp": stamp}
-        point_at(self.spark, self.path, json.dumps(state))
+        point_at(self.spark, self.path, new._state())
         return new
 
     def compacted(self) -> TextIndex:
@@ -102,8 +106,7 @@ class TextIndex:
         order = ["bucket", "token", "id"]
         self._alive("postings").repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{at}/postings")
         self.spark.read.parquet(f"{at}/marks").select("id").limit(0).write.parquet(f"{at}/dead")
-        state = {"segments": [name], "buckets": self.buckets, "docs": self.docs, "total": self.total, "stamp": self.stamp}
-        point_at(self.spark, self.path, json.dumps(state))
+        point_at(self.spark, self.path, replace(self, segments=[name])._state())
         return opened(self.spark, self.path)
 
 
@@ -129,7 +132,7 @@ def synced(index: TextIndex, docs: DataFrame, id: str, text: str, stamp: str = "
     same are neither tokenised nor moved.
     """
     rows = _rows(docs, id, text)
-    now = rows.groupBy("id").agg(F.sum(F.xxhash64("text")).alias("_now"))
+    now = rows.groupBy("id").agg(F.sum(F.xxhash64("text").cast("decimal(20,0)")).alias("_now"))
     j = index.marks().select("id", "mark").join(now, "id", "full")
     moved = j.where(~F.col("mark").eqNullSafe(F.col("_now")))
     at = f"{index.path}/diff-{uuid.uuid4().hex}"

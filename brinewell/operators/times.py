@@ -74,3 +74,15 @@ def day_matches(probes: DataFrame, calendar: DataFrame, zone: str) -> DataFrame:
     last = F.greatest("start", F.col("end") - F.expr("INTERVAL 1 MICROSECOND"))
     days = calendar.select("instance", F.explode(F.sequence(local_day(F.col("start"), zone), local_day(last, zone))).alias("day"))
     return probes.select("probe", "day").join(days, "day").select("probe", "instance")
+
+
+def between_instants(rows: DataFrame, day: str, instant: Column, since: Column, until: Column, margin: int = 2) -> DataFrame:
+    """Rows whose instant is in [since, until), from a table that is partitioned by the local day of each row.
+
+    A local day is at most a day from the day in any other zone, so days within
+    `margin` of the bounds are read and the instant decides. The bounds must
+    not depend on rows: then partitions of other days aren't listed. Rows
+    without an instant, or without a day, are in no range.
+    """
+    coarse = (F.col(day) >= F.date_sub(since.cast("date"), margin)) & (F.col(day) <= F.date_add(until.cast("date"), margin))
+    return rows.where(coarse).where((instant >= since) & (instant < until))

@@ -20,9 +20,9 @@ SELECT doc_id, 'email' AS key, unnest(list_distinct_in_order) AS value FROM (SEL
 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS l FROM documents))
 UNION ALL SELECT doc_id, 'ipv4', unnest(u) FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS u FROM (SELECT doc_id, regexp_extract_all(text, '\\b[0-9]{1,3}(?:\\.[0-9]{1,3}){3}\\b') AS l FROM documents))
 UNION ALL SELECT doc_id, 'card', unnest(u) FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS u FROM (SELECT doc_id, regexp_extract_all(text, '\\b[0-9]{16}\\b') AS l FROM documents)))""")
-def domain_fields(spark, sf_dir):  # X-05, X-06, X-12
-    wanted = {k: fx.FIELDS[k] for k in ("email", "ipv4", "card")}
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(fx.fields_of(F.col("text"), wanted)).alias("f"))
+def domain_fields(spark, sf_dir):  # addresses, hosts and cards; a text without a digit or an @ has none
+    may = F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]")
+    d = table(spark, sf_dir, "documents").where(may).select("doc_id", F.explode(fx.fields_of(F.col("text"), fx.CONTACTS)).alias("f"))
     return d.select("doc_id", "f.key", "f.value")
 
 
@@ -121,22 +121,6 @@ def link_pick(spark, sf_dir):  # S-11: two links a page, a feature
     return links.select("page_id", F.posexplode(F.slice(F.array_sort(keyed), 1, 2)).alias("i", "x")).select("page_id", F.col("x.h").alias("href"), (F.col("i") + 1).alias("k"))
 
 
-PLACES = [("02139", 42.3647, -71.1042), ("10001", 40.7506, -73.9972), ("94103", 37.7725, -122.4147), ("60601", 41.8858, -87.6181), ("02446", 42.3434, -71.1212), ("07302", 40.7223, -74.0467)]
-
-
-@query(f"""WITH p AS (SELECT * FROM (VALUES {", ".join(map(str, PLACES))}) t(zip, lat, lon)),
-j AS (SELECT a.zip AS origin, b.zip, 2 * 3958.8 * asin(sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))) AS miles FROM p a, p b)
-SELECT origin, zip, CAST(round(miles * 1000) AS BIGINT) AS mils FROM j WHERE miles <= 250""")
-def haversine_radius(spark, sf_dir):  # X-21, IO-12
-    p = spark.createDataFrame(PLACES, "zip string, lat double, lon double")
-    # cells of five degrees narrow the join: a radius of 250 miles is below one cell north to south, and two west to east up to 60 degrees
-    a = p.select(F.col("zip").alias("origin"), F.col("lat").alias("a"), F.col("lon").alias("b"), F.explode(F.sequence(F.floor(F.col("lat") / 5) - 1, F.floor(F.col("lat") / 5) + 1)).alias("row"))
-    a = a.withColumn("col", F.explode(F.sequence(F.floor(F.col("b") / 5) - 2, F.floor(F.col("b") / 5) + 2)))
-    j = a.join(p.withColumns({"row": F.floor(F.col("lat") / 5), "col": F.floor(F.col("lon") / 5)}), ["row", "col"])
-    m = j.withColumn("miles", fx.haversine_miles(F.col("a"), F.col("b"), F.col("lat"), F.col("lon"))).where("miles <= 250")
-    return m.select("origin", "zip", F.round(F.col("miles") * 1000).cast("long").alias("mils"))
-
-
 TOKENS = """tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9ß]+'), lambda t: t <> '')) AS token FROM documents)"""
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brinewell.session import cut
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -118,6 +121,48 @@ def duration_seconds(c: Column) -> Column:
     return F.when(c.rlike(r"^[+-]?P"), F.when(c.startswith("-"), -total).otherwise(total))
 
 
+def gazetteer(spark: SparkSession, path: str, key: int = 0, lat: int = 5, lon: int = 6) -> DataFrame:
+    """(key, lat, lon) from fixed fields of tab-separated lines, the first line of each file left out; lines without a position are too."""
+    most = max(key, lat, lon)
+    t = spark.read.csv(path, schema=", ".join(f"f{i} string" for i in range(most + 1)), sep="\t", header=True, quote="", mode="PERMISSIVE")
+    num = lambda i: F.trim(F.col(f"f{i}")).try_cast("double")
+    return t.select(F.trim(F.col(f"f{key}")).alias("key"), num(lat).alias("lat"), num(lon).alias("lon")).where("key <> '' AND lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def mime_parts(messages: DataFrame, id: str, payload: str) -> DataFrame:  # noqa: A002
+    """A row for each attachment and text body of nested message parts: id, path, kind, filename, mime, size, attachment_id, content.
+
+    payload: a part as JSON, {mimeType, filename, body: {size, attachmentId,
+    data}, parts: [...]}, nested to any depth. A part with a filename is an
+    attachment, with the size that it states; another one of text/plain or
+    text/html with data is a body, with its decoded size. Both may have parts
+    of their own. path holds the places from the root down, so its order is the
+    order of the tree. data is base64 in the form for URLs; content is null
+    where it isn't.
+
+    All messages are walked at once, a level a round, and each level is
+    written before the next is taken out of it; rounds end when no part has
+    parts. Null, empty and broken payloads have no rows; rows that repeat are
+    walked each.
+    """
+    fields = "struct<mimeType:string,filename:string,body:struct<size:string,attachmentId:string,data:string>>"
+    top = F.col(payload)
+    level = cut(messages.select(F.col(id), F.array().cast("array<int>").alias("path"), top.alias("_part")).where("_part IS NOT NULL"), "mime-level")
+    found: list[DataFrame] = []
+    while not found or not level.isEmpty():
+        p = F.from_json("_part", fields)
+        mime, name, body = F.coalesce(p["mimeType"], F.lit("")), F.coalesce(p["filename"], F.lit("")), p["body"]
+        kind = F.when(name != "", "attachment").when(mime.isin("text/plain", "text/html") & (F.coalesce(body["data"], F.lit("")) != ""), "body")
+        sent = F.translate(body["data"], "-_=", "+/")
+        content = F.try_to_binary(F.concat(sent, F.repeat(F.lit("="), F.pmod(-F.length(sent), F.lit(4)))), F.lit("base64"))
+        size = F.when(name != "", F.coalesce(body["size"].try_cast("long"), F.lit(0))).otherwise(F.octet_length(content))
+        flat = level.select(id, "path", kind.alias("kind"), name.alias("filename"), mime.alias("mime"), size.cast("long").alias("size"), body["attachmentId"].alias("attachment_id"), content.alias("content"))
+        found.append(flat.where("kind IS NOT NULL"))
+        parts = F.posexplode(F.from_json(F.get_json_object("_part", "$.parts"), "array<string>"))
+        level = cut(level.select(id, F.col("path").alias("_up"), parts.alias("_i", "_part")).where("_part IS NOT NULL").select(id, F.concat("_up", F.array("_i")).alias("path"), "_part"), "mime-level")
+    return reduce(DataFrame.unionByName, found)
+
+
 def write_guarded(df: DataFrame, path: str, least_share: float = 0.8) -> str:
     """Writes a new version below path and points CURRENT at it; refuses an empty one, or one below a share of the last.
 
