@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions import text as fx
-from brinewell.operators import measures, names, search, textindex
+from brinewell.operators import measures, names, report, search, textindex
 from brinewell.plans.registry import query
 from brinewell.session import scratch_root, table
 from brinewell.sources.files import stamp
@@ -228,3 +228,32 @@ def entity_resolve(spark, sf_dir):  # X-05, X-06, X-07, X-08
     streams = {f"shop{i}.com": {"orders.": "orders"} for i in range(25)}
     return c.select("c_custkey", fx.entity_of(F.col("raw"), F.lit("unknown"), F.lit(1), streams=streams).alias("e")).select("c_custkey", "e.key", "e.name", "e.kind")
 
+
+
+ARTIFACTS = f"""{TYPED}, a AS (SELECT k.doc_id AS id, k.source AS sender, k.doc_type, k.tier, octet_length(encode(coalesce(k.text, ''))) AS bytes, 2015 + k.doc_id % 8 AS year, d.lang AS ext, length(trim(coalesce(k.text, ''))) < 120 AS review FROM k JOIN documents d USING (doc_id)),
+f AS (SELECT CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status, CASE turn % 3 WHEN 0 THEN 'chrome' WHEN 1 THEN 'oversize' END AS reason, length(text) AS size FROM conversations),
+t AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (doc_type IS DISTINCT FROM 'question'))::DOUBLE AS docs FROM a),
+s AS (SELECT coalesce(sender, '(none)') AS sender, count(*) AS n, count(*) FILTER (doc_type IS DISTINCT FROM 'question') AS docs, sum(bytes) AS bytes FROM a GROUP BY 1),
+c AS (SELECT row_number() OVER (ORDER BY n DESC, sender) AS rank, sum(n) OVER (ORDER BY n DESC, sender) / (SELECT n FROM t) AS coverage FROM s)
+"""
+
+
+@query(f"""WITH {ARTIFACTS}
+SELECT 'senders' AS section, sender AS label, n, docs AS documents, bytes::BIGINT AS bytes, docs / (SELECT docs FROM t) AS share FROM (SELECT * FROM s ORDER BY docs DESC, n DESC, sender LIMIT 40)
+UNION ALL SELECT 'coverage', CAST(m * 100 AS INTEGER) || '%', (SELECT min(rank) FROM c WHERE coverage >= m), NULL, NULL, NULL FROM (SELECT unnest([0.5, 0.8, 0.95])::DOUBLE AS m)
+UNION ALL SELECT 'types', coalesce(doc_type, '(none)') || '/T' || tier, count(*), count(*) FILTER (doc_type IS DISTINCT FROM 'question'), sum(bytes)::BIGINT, count(*) / (SELECT n FROM t) FROM a GROUP BY doc_type, tier
+UNION ALL SELECT 'years', year::VARCHAR, count(*), count(*) FILTER (doc_type IS DISTINCT FROM 'question'), sum(bytes)::BIGINT, count(*) / (SELECT n FROM t) FROM a GROUP BY year
+UNION ALL SELECT 'biggest', id::VARCHAR, 1, NULL, bytes, NULL FROM (SELECT * FROM a WHERE doc_type IS DISTINCT FROM 'question' ORDER BY bytes DESC, id LIMIT 25)
+UNION ALL SELECT 'untyped', id::VARCHAR, 1, NULL, bytes, NULL FROM (SELECT * FROM a WHERE doc_type IS NULL ORDER BY bytes DESC, id LIMIT 40)
+UNION ALL SELECT 'failures', ext, n, docs, bytes, n / (SELECT n FROM t) FROM (SELECT ext, count(*) AS n, count(*) FILTER (doc_type IS DISTINCT FROM 'question') AS docs, sum(bytes)::BIGINT AS bytes FROM a WHERE review GROUP BY ext ORDER BY n DESC, ext LIMIT 20)
+UNION ALL SELECT 'noise', status || '/' || coalesce(reason, '(none)'), count(*), NULL, sum(size)::BIGINT, count(*) / (SELECT count(*)::DOUBLE FROM f) FROM f GROUP BY status, reason
+UNION ALL SELECT 'sample', id::VARCHAR, 1, NULL, bytes, NULL FROM (SELECT * FROM a ORDER BY md5('7:' || id), id LIMIT 20)
+UNION ALL SELECT 'levers', label, k, NULL, NULL, k / (SELECT n FROM t) FROM (SELECT unnest(['drop question', 'drop under 20000 bytes', 'drop under 50000 bytes', 'drop tier 3', 'drop untyped', 'drop for review']) AS label,
+  unnest([count(*) FILTER (doc_type = 'question'), count(*) FILTER (bytes < 20000), count(*) FILTER (bytes < 50000), count(*) FILTER (tier = 3), count(*) FILTER (doc_type IS NULL), count(*) FILTER (review)]) AS k FROM a)""")
+def calibration_report(spark, sf_dir):  # P-21, A-17, A-18, A-23
+    d = _classified(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    t = F.coalesce("text", F.lit(""))
+    artifacts = d.select(F.col("doc_id").alias("id"), F.col("source").alias("sender"), "doc_type", "tier", F.octet_length(t).cast("long").alias("bytes"), (2015 + F.col("doc_id") % 8).alias("year"), F.col("lang").alias("ext"), (F.length(F.trim(t)) < 120).alias("needs_review"))
+    c = table(spark, sf_dir, "conversations")
+    manifest = c.select(F.when(F.col("turn") % 5 == 4, "failed").otherwise("ok").alias("status"), F.when(F.col("turn") % 3 == 0, "chrome").when(F.col("turn") % 3 == 1, "oversize").alias("reason"), F.length("text").alias("size"))
+    return report.calibration_report(artifacts, manifest, body="question", seed="7")
