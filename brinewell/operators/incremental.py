@@ -86,15 +86,20 @@ def relinked(rows: DataFrame, linked: DataFrame, source: DataFrame, seen: DataFr
     the source lost make their keys touched, and so do fresh rows. Only the
     touched keys' rows are linked again; the other keys' links are taken over
     as they are, because link works on each key's rows alone. Null keys are a
-    key. Ids must not be null; of an id whose rows moved to another key, both
-    keys are touched.
+    key. Ids and ingestion times must not be null; of an id whose rows moved to
+    another key, both keys are touched.
     """
-    todo = cut(to_process(source, seen, id, synced, floor, overlap), "incremental-todo")
-    lost = rows.select(id).join(source.select(id), id, "left_anti")
-    changed = cut(todo.select(id).unionByName(lost).distinct(), "incremental-changed")
+    start = floor - overlap
+    # one join tells the ids that came late and those that went; of both there are few
+    both = source.select(id, F.col(synced).alias("_synced")).join(seen.select(id).distinct().withColumn("_seen", F.lit(True)), id, "full")
+    moved = both.where(F.col("_synced").isNull() | (F.col("_seen").isNull() & (F.col("_synced") < start)))
+    moved = cut(moved.select(id, F.col("_synced").isNull().alias("_gone")), "incremental-moved")
+    late = source.where(F.col(synced) < start).join(moved.where("NOT _gone").select(id), id, "left_semi")
+    todo = cut(source.where(F.col(synced) >= start).unionByName(late), "incremental-todo")
+    changed = cut(todo.select(id).unionByName(moved.where("_gone").select(id)).distinct(), "incremental-changed")
     fresh = extract(todo)
     touched = cut(touched_keys(rows, fresh, changed, keys, id), "incremental-keys")
     renamed, same = _on(keys, touched)
     kept = rows.join(changed, id, "left_anti")
-    again = link(kept.join(renamed, same, "left_semi").unionByName(fresh))
+    again = link(cut(kept.join(renamed, same, "left_semi").unionByName(fresh), "incremental-rows"))
     return kept.unionByName(fresh), linked.join(renamed, same, "left_anti").unionByName(again), touched
