@@ -42,7 +42,7 @@ TYPED = f"d AS (SELECT doc_id, source, text, {CASES} AS doc_type FROM (SELECT *,
 
 
 @query(f"WITH {TYPED} SELECT coalesce(doc_type, '') AS doc_type, tier, count(*) AS n, count(DISTINCT source) AS sources FROM k GROUP BY 1, 2")
-def doc_classify_tier(spark, sf_dir):  # X-10, A-16, A-17
+def doc_classify_tier(spark, sf_dir):  # X-10, A-17
     return _classified(spark, sf_dir).groupBy(F.coalesce("doc_type", F.lit("")).alias("doc_type"), "tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
 
 
@@ -55,7 +55,7 @@ def redact_by_tier(spark, sf_dir):  # F-15
 @query("""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '$' || printf('%.2f', o_totalprice) WHEN 1 THEN 'R$ ' || replace(printf('%.2f', o_totalprice), '.', ',') WHEN 2 THEN printf('%d', CAST(floor(o_totalprice / 1000) AS BIGINT)) || ',' || '123 USD' ELSE 'none' END AS raw, o_totalprice AS p FROM orders)
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(printf('%.2f', p) AS DOUBLE) WHEN 1 THEN CAST(printf('%.2f', p) AS DOUBLE) WHEN 2 THEN floor(p / 1000) * 1000 + 123 END AS value,
 CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'BRL' WHEN 2 THEN 'USD' END AS currency FROM s""")
-def amount_parse(spark, sf_dir):  # X-02, X-03
+def amount_parse(spark, sf_dir):  # X-02
     p = F.format_string("%.2f", "o_totalprice")
     thousands = F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit(",123 USD"))
     k = F.col("o_orderkey") % 4
@@ -75,12 +75,12 @@ def date_parse(spark, sf_dir):  # X-04: each date written in one of four ways
 
 @query("""WITH f AS (SELECT p_partkey AS id, trim(regexp_replace(lower(strip_accents(p_name)), '[^0-9a-z]+', ' ', 'g')) AS key FROM part)
 SELECT key, count(*) AS n, min(id) AS first_id FROM f GROUP BY key""")
-def fold_key_dedup(spark, sf_dir):  # X-13, S-06
+def fold_key_dedup(spark, sf_dir):  # X-13
     return table(spark, sf_dir, "part").groupBy(fx.fold(F.col("p_name")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_id"))
 
 
 @query("SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
-def content_copies(spark, sf_dir):  # X-32, M-16, IO-18
+def content_copies(spark, sf_dir):  # X-32, M-16
     return table(spark, sf_dir, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
@@ -91,7 +91,7 @@ SPELLINGS = [("small ring", "ring"), ("anel pequeno", "ring"), ("red widget", "w
 @query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) || 's' WHEN 2 THEN '2 kg of ' || p_name ELSE p_name || ' 500g' END AS name, p_name FROM part)
 SELECT p_partkey, name, CASE p_name WHEN 'small ring' THEN 'ring' WHEN 'red widget' THEN 'widget' WHEN 'hot plate' THEN 'plate' WHEN 'old gear' THEN 'gear'
 ELSE trim(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g')) END AS canonical FROM s""")
-def canonical_product(spark, sf_dir):  # X-14, X-15, X-16, S-05
+def canonical_product(spark, sf_dir):  # X-14, X-15, X-16
     k, n = F.col("p_partkey") % 4, F.col("p_name")
     name = F.when(k == 0, n).when(k == 1, F.concat(F.upper(n), F.lit("s"))).when(k == 2, F.concat(F.lit("2 kg of "), n)).otherwise(F.concat(n, F.lit(" 500g")))
     known = spark.createDataFrame(SPELLINGS, "spelling string, canonical string")
@@ -99,14 +99,14 @@ def canonical_product(spark, sf_dir):  # X-14, X-15, X-16, S-05
 
 
 @query("""SELECT p_partkey, CASE WHEN p_name LIKE '% plate' THEN CASE WHEN p_name LIKE 'hot %' THEN 'kitchen' ELSE 'table' END WHEN p_name LIKE '% gear' OR p_name LIKE '% bolt' THEN 'tools' END AS section FROM part""")
-def section_classify(spark, sf_dir):  # X-17, X-18
+def section_classify(spark, sf_dir):  # X-17
     terms = spark.createDataFrame([("plate", "table"), ("hot plate", "kitchen"), ("gear", "tools"), ("bolt", "tools")], "term string, section string")
     return names.section_of(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", terms).select("p_partkey", "section")
 
 
 @query("""SELECT host, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages)
 WHERE host <> '' AND NOT (host = 'example.org' OR host LIKE '%.example.org') GROUP BY host""")
-def url_host_filter(spark, sf_dir):  # X-20, F-08
+def url_host_filter(spark, sf_dir):  # X-20
     h = table(spark, sf_dir, "pages").select(fx.link_host(F.col("url")).alias("host"))
     skip = (F.col("host") == "example.org") | F.col("host").endswith(".example.org")
     return h.where((F.col("host") != "") & ~skip).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
@@ -213,7 +213,7 @@ def confusion_calibration(spark, sf_dir):  # A-19
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 90")
-def json_status_filter(spark, sf_dir):  # X-33, M-13
+def json_status_filter(spark, sf_dir):  # X-33
     k = F.get_json_object("props", "$.k").try_cast("long")
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k >= 90")
 

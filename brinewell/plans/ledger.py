@@ -59,7 +59,7 @@ def events_after_linking(spark, sf_dir):  # W-01, W-02, A-04
 
 @query("""SELECT c_name, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment ILIKE '%auto%' GROUP BY c_name""")
-def counterparty_spend(spark, sf_dir):  # A-01, J-01, F-05, P-13
+def counterparty_spend(spark, sf_dir):  # A-01, J-01, F-05
     c = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").ilike("%auto%")).select("c_custkey", "c_name")
     j = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("c_name").agg(F.count(F.lit(1)).alias("n"), F.sum(money("o_totalprice")).cast("double").alias("total"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"))
@@ -97,7 +97,7 @@ def _census(spark, sf_dir: str) -> DataFrame:
 
 
 @query(CENSUS + "SELECT sender, n, rank, cum, CAST(cum AS DOUBLE) / (SELECT CAST(sum(n) AS DOUBLE) FROM g) AS coverage FROM r")
-def sender_census_coverage(spark, sf_dir):  # A-10, A-11, W-03
+def sender_census_coverage(spark, sf_dir):  # A-11, W-03
     return _census(spark, sf_dir)
 
 
@@ -172,7 +172,7 @@ def usual_name(spark, sf_dir):  # A-21
 
 
 @query("""SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY 1""")
-def latest_event(spark, sf_dir):  # S-08, A-24, J-19
+def latest_event(spark, sf_dir):  # S-08
     e = table(spark, sf_dir, "events")
     last = F.max_by(F.struct("event_id", "event_type", "ts"), F.struct("ts", "event_id"))
     return e.groupBy("user_id").agg(last.alias("l")).select("user_id", "l.event_id", "l.event_type", "l.ts")

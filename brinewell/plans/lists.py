@@ -14,7 +14,7 @@ NOW = "2024-01-15 02:30:00"  # 23:30 of the day before in Sao Paulo
 @query("""WITH b AS (SELECT * FROM (VALUES ('today', TIMESTAMP '2024-01-14 03:00:00', TIMESTAMP '2024-01-15 03:00:00'), ('yesterday', TIMESTAMP '2024-01-13 03:00:00', TIMESTAMP '2024-01-14 03:00:00'), ('12h', TIMESTAMP '2024-01-14 14:30:00', TIMESTAMP '2024-01-15 03:00:00'),
 ('7d', TIMESTAMP '2024-01-08 02:30:00', TIMESTAMP '2024-01-15 03:00:00'), ('2w', TIMESTAMP '2024-01-01 02:30:00', TIMESTAMP '2024-01-15 03:00:00'), ('2024-01-10', TIMESTAMP '2024-01-10 03:00:00', TIMESTAMP '2024-01-11 03:00:00')) t(bound, since, until))
 SELECT bound, count(event_id) AS n, min(event_id) AS first_event FROM b LEFT JOIN events ON ts >= since AND ts < until GROUP BY 1""")
-def relative_bounds(spark, sf_dir):  # X-22, F-03, F-12
+def relative_bounds(spark, sf_dir):  # X-22, F-03
     zone, now = "America/Sao_Paulo", F.lit(NOW).cast("timestamp")
     ends = {"today": "today", "yesterday": "yesterday", "2024-01-10": "2024-01-10"}
     at = F.col("ts").cast("timestamp")
@@ -54,7 +54,7 @@ WALK = "['household', 'personal_care', 'baby', 'pet', 'snacks', 'pantry', 'bever
 
 @query(f"""WITH p AS (SELECT p_partkey, p_name, {WALK}[CAST(p_size % 16 AS INTEGER) + 1] AS section, p_size, p_size / 8 AS q FROM part) SELECT p_partkey, coalesce(list_position({WALK}, section), 14) AS pos, upper(p_name[1]) || p_name[2:] AS display,
 CASE WHEN q = floor(q) THEN CAST(CAST(q AS BIGINT) AS VARCHAR) ELSE printf('%g', q) END AS quantity, row_number() OVER (PARTITION BY section ORDER BY p_name, p_partkey) AS place FROM p""")
-def store_walk(spark, sf_dir):  # S-05, S-03, S-06, X-40
+def store_walk(spark, sf_dir):  # S-05, S-06, X-40
     sections = F.array(*[F.lit(s) for s in lists.LAYOUTS["warehouse"]])
     p = table(spark, sf_dir, "part").withColumn("section", F.get(sections, (F.col("p_size") % 16).cast("int")))
     p = lists.folded_rank(p.withColumn("_n", F.concat_ws(" ", "p_name", F.format_string("%09d", F.col("p_partkey")))), ["section"], "_n")

@@ -15,7 +15,7 @@ avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) AS social, avg(CASE WHEN
 
 @query(f"""WITH {RATIOS} SELECT user_id, day, n, CASE WHEN user_id % 10 = 0 AND promo < 0.5 THEN 'human' WHEN personal > 0.5 AND n <= 20 AND user_id % 3 > 0 THEN 'human' WHEN promo > 0.6 THEN 'marketing' WHEN transact > 0.4 AND promo < 0.3 THEN 'service-transactional'
 WHEN updates > 0.6 AND user_id % 3 = 0 THEN 'service-notification' WHEN social > 0.6 THEN 'service-notification' WHEN user_id % 3 = 0 THEN 'marketing' ELSE 'unknown' END AS class FROM r""")
-def sender_classes(spark, sf_dir):  # X-09, A-09, P-05
+def sender_classes(spark, sf_dir):  # X-09, A-09
     e = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))  # a user's day stands for a sender
     share = {"view": "promo", "click": "updates", "signup": "personal", "error": "social", "purchase": "transact"}
     r = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("event_type") == k).cast("double")).alias(v) for k, v in share.items()])
@@ -69,7 +69,7 @@ def reply_links(spark, sf_dir):  # J-21
 
 @query("""WITH i AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events) SELECT event_id AS instance, user_id AS series, s + CASE WHEN event_id % 6 = 0 THEN 60 ELSE 0 END AS start,
 s + CASE WHEN event_id % 6 = 0 THEN 60 ELSE 0 END + CASE WHEN event_id % 12 = 0 THEN 5 ELSE 1000 + user_id END AS "end", event_id % 6 = 0 AS is_override FROM i""")
-def override_occurrences(spark, sf_dir):  # W-10, I-12
+def override_occurrences(spark, sf_dir):  # W-10
     e, k = events(spark, sf_dir).withColumn("s", F.expr("us div 1000000")), F.col("event_id")
     inst = e.select(F.col("user_id").alias("series"), k.alias("instance"), F.col("s").alias("start"))
     masters = e.select(F.col("user_id").alias("series")).distinct().select("series", (1000 + F.col("series")).alias("duration"), F.lit("m").alias("summary"))
@@ -103,7 +103,7 @@ def retention_inventory(spark, sf_dir):  # A-29
 
 
 @query("""SELECT n_name, person_id, matched FROM (SELECT n_name, n_nationkey, CASE WHEN n_nationkey < 5 THEN n_nationkey END AS person_id, CASE WHEN n_nationkey < 5 THEN 'name' END AS matched FROM nation)""")
-def actor_lookup(spark, sf_dir):  # P-07, P-08
+def actor_lookup(spark, sf_dir):  # P-08
     n = table(spark, sf_dir, "nation")
     people = n.where("n_nationkey < 5").select(F.col("n_nationkey").alias("person_id"), F.lit("").alias("phone"), F.col("n_name").alias("name"))
     return census.resolved_actor(people, n.select(F.col("n_name").alias("ask"))).select(F.col("ask").alias("n_name"), "person_id", "matched")

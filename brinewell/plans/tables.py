@@ -115,7 +115,7 @@ def child_lists(spark, sf_dir):  # J-15
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09)""")
-def wanted_ids(spark, sf_dir):  # J-13, J-14, U-01
+def wanted_ids(spark, sf_dir):  # J-13, J-14
     ids = table(spark, sf_dir, "lineitem").where("l_discount > 0.09").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, sf_dir, "orders").join(ids, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
 

@@ -71,7 +71,7 @@ def field_amounts(spark, sf_dir):  # X-03
 
 
 @query("""SELECT conv_id, turn, CASE WHEN length(text) < 20 THEN 'short' WHEN length(text) - length(replace(text, ' ', '')) + 1 < 3 THEN 'few words' ELSE 'ok' END AS reason FROM conversations""")
-def usable_turns(spark, sf_dir):  # X-36
+def usable_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.unusable(F.col("text"), 20, 3).alias("reason"))
 
 

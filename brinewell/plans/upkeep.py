@@ -88,7 +88,7 @@ def incremental_touched_keys(spark, sf_dir):  # I-01 to I-05: after the first ru
 
 
 @query("SELECT conv_id, turn, CASE WHEN conv_id < 40 THEN '' ELSE text END AS text FROM conversations")
-def retention_blank(spark, sf_dir):  # M-11, F-12
+def retention_blank(spark, sf_dir):  # M-11
     return upkeep.blanked(table(spark, sf_dir, "conversations"), ["text"], "conv_id", F.lit(40)).select("conv_id", "turn", "text")
 
 
@@ -101,7 +101,7 @@ def set_reconcile(spark, sf_dir):  # U-02, U-03, U-04, U-09
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) OR (c_acctbal > 9000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000))""")
-def orphan_prune(spark, sf_dir):  # J-06, J-07, M-06, M-07
+def orphan_prune(spark, sf_dir):  # J-06, J-07, M-07
     c = table(spark, sf_dir, "customer")
     o = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return upkeep.orphans_pruned(c, (o, ["c_custkey"]), keep=F.col("c_acctbal") > 9000).select("c_custkey", "c_name")
