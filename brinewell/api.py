@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brinewell.operators import search
 from brinewell.operators.census import with_freshness
 from brinewell.operators.intervals import overlaps
+from brinewell.operators.textindex import TextIndex
 
 #: Most rows of an answer.
 MOST = 100
@@ -86,9 +87,11 @@ def entity(transactions: DataFrame, name: str, since=None, until=None, limit: in
     return out
 
 
-def catalog_search(docs: DataFrame, index: DataFrame, text: str, doc_type: str | None = None, least_tier: int | None = None, limit: int = 20) -> Result:
-    """Documents by words, the search widened until something is found; filters come before the limit; texts below tier 3 are withheld."""
-    found = search.widened(index, search.query_tokens(text)).join(search.ranked(index, search.query_tokens(text)), "id", "left")
+def catalog_search(docs: DataFrame, index: DataFrame | TextIndex, text: str, doc_type: str | None = None, least_tier: int | None = None, limit: int = 20) -> Result:
+    """Documents by words (of postings, or of a kept index), the search widened until something is found; filters come before the limit; texts below tier 3 are withheld."""
+    wanted = search.query_tokens(text)
+    begun, totals = (index.postings(wanted, prefix=True), index.totals()) if isinstance(index, TextIndex) else (index, None)
+    found = search.widened(begun, wanted).join(search.ranked(begun, wanted, totals=totals), "id", "left")
     df = _narrowed(docs, {"doc_type": doc_type}, ("tier", least_tier), None).join(found, F.col("doc_id") == F.col("id")).drop("id")
     shown = df.withColumn("text", F.when(F.col("tier") >= 3, F.col("text")))
     return answer(shown, limit, F.coalesce("score", F.lit(0.0)).desc(), F.col("doc_id"))
@@ -105,3 +108,33 @@ def activity(events: DataFrame, group: int, since=None, until=None, actor: str |
     """A group's events, the newest first; rows without a group belong to nobody."""
     df = _narrowed(events.where(F.col("group_id") == group), {"actor": actor, "action": actions}, ("at", since), ("at", until))
     return answer(df, limit, F.desc("at"), F.desc("event_id"))
+
+
+def drive_search(files: DataFrame, index: DataFrame | None = None, text: str = "", kind: str | None = None, owner: str | None = None, since: int | None = None, trashed: bool = False, limit: int = 20) -> Result:
+    """Live files by words of their names, mime type or kind, part of an owner and time, the last modified first; without words only the filters count; trashed ones on request."""
+    df = _narrowed(files.where("deleted_at IS NULL"), {}, ("modified_ts", since), None)
+    if not trashed:
+        df = df.where(~F.col("trashed"))
+    if kind:
+        df = df.where((F.col("mime_type") == kind) | (F.col("kind") == kind))
+    if owner:
+        df = df.where(F.exists("owners", lambda o: F.lower(o).contains(owner.lower())))
+    if (wanted := search.query_tokens(text)) and index is not None:
+        df = df.join(search.match_all(index, wanted).withColumnRenamed("id", "file_id"), "file_id", "left_semi")
+    return answer(df, limit, F.desc("modified_ts"), F.col("file_id"))
+
+
+def drive_recent(files: DataFrame, trashed: bool = False, limit: int = 20) -> Result:
+    """The live files that were modified last."""
+    return drive_search(files, trashed=trashed, limit=limit)
+
+
+def drive_status(files: DataFrame, parents: DataFrame, states: tuple[str, ...] = ("private", "shared_with_named", "domain", "anyone_with_link", "unknown")) -> DataFrame:
+    """One row: live files, folders, trashed and tombstoned ones, edges to parents, and live files by sharing state, zeros included."""
+    live = F.col("deleted_at").isNull()
+    counts = files.agg(
+        F.count_if(live).alias("files"), F.count_if(live & (F.col("kind") == "folder")).alias("folders"), F.count_if(live & F.col("trashed")).alias("trashed"), F.count_if(~live).alias("tombstoned"),
+        *[F.count_if(live & (F.coalesce("sharing_state", F.lit("unknown")) == s)).alias(f"sharing_{s}") for s in states],
+    )
+    edges = parents.agg(F.count(F.lit(1)).alias("parent_edges"))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").drop("_one")

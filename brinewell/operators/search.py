@@ -75,15 +75,15 @@ def ranked(index: DataFrame, wanted: list[str], sizes: DataFrame | None = None,
     in sizes; totals: how many documents have a token, and how many tokens,
     where the index keeps them.
     """
-    if "size" not in index.columns:
-        sizes = sizes if sizes is not None else index.groupBy("id").agg(F.sum("tf").alias("size"))
+    if sizes is None and totals is None:
+        sizes = index.groupBy("id").agg(F.sum("tf").alias("size"))
     if totals is None:
         totals = tuple(int(x or 0) for x in sizes.agg(F.count(F.lit(1)), F.sum("size")).first())
     n, average = totals[0], totals[1] / max(totals[0], 1)
     hits = index.where(F.col("token").isin(*wanted))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row a query term
     j = hits.join(F.broadcast(df), "token")
-    j = j if "size" in index.columns else j.join(sizes, "id")
+    j = j if "size" in index.columns else j.join(sizes if sizes is not None else index.groupBy("id").agg(F.sum("tf").alias("size")), "id")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(average)))
     return j.groupBy("id").agg(F.sum(score).alias("score"))

@@ -126,3 +126,12 @@ def purged(parents: DataFrame, key: str, old: Column, *children: DataFrame) -> l
 def triaged(changes: DataFrame, removed: Column, excluded: Column) -> DataFrame:
     """changes with `change`: remove, exclude (what the source holds but we don't) or upsert."""
     return changes.withColumn("change", F.when(removed, "remove").when(excluded, "exclude").otherwise("upsert"))
+
+
+def known_anywhere(ids: DataFrame, key: str, *tables: tuple[DataFrame, str]) -> DataFrame:
+    """The ids that some table holds, each table with the column that has them; an id in several tables, or several times, comes once a row of ids."""
+    held = [t.select(F.col(c).alias(key)) for t, c in tables]
+    every = held[0]
+    for h in held[1:]:
+        every = every.unionByName(h)
+    return ids.join(every.distinct(), key, "left_semi")
