@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,3 +139,15 @@ def document_identifiers(spark, sf_dir):  # X-12: the identifiers of documents i
         F.lit("\nPedido X"), n, F.lit("\nenvelope ID: ABCDEF01-"), n, F.lit("-FF\nCNPJ 12."), part(1, 3), F.lit("."), part(4, 3), F.lit("/0001-99 total $"), F.format_number("o_totalprice", 2), F.lit("."),
     )
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(fields_of(text, FIELDS)).alias("f")).select("id", "f.key", "f.value")
+
+
+@query("SELECT kind, p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ', \"x\"' WHEN 1 THEN chr(9) || 'tab' WHEN 2 THEN chr(10) || 'line' ELSE '' END AS name, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS price FROM part, (VALUES ('csv'), ('tsv'), ('jsonl')) t(kind)")
+def text_sinks(spark, sf_dir):  # IO-16, IO-04: written as text and read back
+    k = F.col("p_partkey")
+    more = F.when(k % 4 == 0, ', "x"').when(k % 4 == 1, "\ttab").when(k % 4 == 2, "\nline").otherwise("")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"), F.when(k % 5 > 0, F.col("p_retailprice")).alias("price"))
+    root, out = f"{scratch_root(spark)}/text-{uuid.uuid4().hex}", []
+    for kind in ("csv", "tsv", "jsonl"):
+        files.write_text(p, f"{root}/{kind}", kind)
+        out.append(files.read_text(spark, f"{root}/{kind}", kind, p.schema).select(F.lit(kind).alias("kind"), "*"))
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -210,6 +210,27 @@ def current(spark: SparkSession, path: str) -> str | None:
     return spark.read.text(f"{path}/CURRENT").first()[0]
 
 
+#: A null in csv and tsv, told from an empty text; a text that is just this reads as null.
+NULL = "\\N"
+
+
+def write_text(df: DataFrame, path: str, kind: str) -> None:
+    """Rows as csv or tsv with a header in each file, or as jsonl; quotes, separators and line ends within values are kept, and so are empty texts beside nulls."""
+    if kind == "jsonl":
+        df.write.option("ignoreNullFields", False).json(path)
+    elif kind in ("csv", "tsv"):
+        df.write.options(header=True, sep="," if kind == "csv" else "\t", quote='"', escape='"', emptyValue='""', nullValue=NULL, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    else:
+        raise ValueError(f"csv, tsv or jsonl, not {kind}")
+
+
+def read_text(spark: SparkSession, path: str, kind: str, schema: str | T.StructType) -> DataFrame:
+    """What ``write_text`` has written."""
+    if kind == "jsonl":
+        return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(header=True, sep="," if kind == "csv" else "\t", quote='"', escape='"', emptyValue="", nullValue=NULL, multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def write_blobs(df: DataFrame, path: str) -> None:
     """Contents by hash, once each, in folders by the hash's first two digits."""
     df.dropDuplicates(["sha256"]).withColumn("prefix", F.left("sha256", F.lit(2))).write.partitionBy("prefix").mode("append").parquet(path)

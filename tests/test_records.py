@@ -155,3 +155,13 @@ def test_identifiers(spark):
     for r in spark.createDataFrame([(text,)], "t string").select(F.explode(fields_of(F.col("t"), FIELDS)).alias("f")).select("f.*").collect():
         got.setdefault(r["key"], []).append(r["value"])
     assert got["order_no"] == ["12345", "AB-99"] and got["matricula"] == ["12.345"] and got["rg"] == ["12.345.678-9"] and got["amount_usd"] == ["$1,200.50", "$12.00"]
+
+
+@pytest.mark.parametrize("kind", ["csv", "tsv", "jsonl"])
+def test_text_sinks(spark, tmp_path, kind):
+    data = [(1, 'a,"b"\tc\n"d', 1.5), (2, None, None), (3, "", -0.0), (4, " blank ", 1e300), (5, "back\\slash", 0.1)]
+    df = spark.createDataFrame(data, "id long, t string, x double")
+    files.write_text(df, f"file://{tmp_path}/{kind}", kind)
+    assert rows(files.read_text(spark, f"file://{tmp_path}/{kind}", kind, df.schema)) == rows(df)
+    with pytest.raises(ValueError):
+        files.write_text(df, f"file://{tmp_path}/x", "xml")
