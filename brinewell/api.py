@@ -110,6 +110,14 @@ def activity(events: DataFrame, group: int, since=None, until=None, actor: str |
     return answer(df, limit, F.desc("at"), F.desc("event_id"))
 
 
+def list_events(events: DataFrame, group: int, store: str | None = None, product: str | None = None, action: str | None = None, by: str | None = None, limit: int = 50) -> Result:
+    """What happened on a group's lists, the newest first; the store's name in any letter case."""
+    df = _narrowed(events.where(F.col("group_id") == group), {"product": product, "action": action, "actor": by}, None, None)
+    if store is not None:
+        df = df.where(F.lower("store") == store.strip().lower())
+    return answer(df, limit, F.desc("at"), F.desc("event_id"))
+
+
 def drive_search(files: DataFrame, index: DataFrame | None = None, text: str = "", kind: str | None = None, owner: str | None = None, since: int | None = None, trashed: bool = False, limit: int = 20) -> Result:
     """Live files by words of their names, mime type or kind, part of an owner and time, the last modified first; without words only the filters count; trashed ones on request."""
     df = _narrowed(files.where("deleted_at IS NULL"), {}, ("modified_ts", since), None)

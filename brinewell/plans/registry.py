@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["events_after_linking"](spark, sf_dir)
 
 
-from brinewell.plans import answers, catalog, ledger, lists, records, senders, tables, texts, timeline, upkeep  # noqa: E402, F401  they register themselves
+from brinewell.plans import answers, catalog, household, ledger, lists, records, senders, tables, texts, timeline, upkeep  # noqa: E402, F401  they register themselves
