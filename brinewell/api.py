@@ -66,6 +66,47 @@ def agenda(occurrences: DataFrame, since: int, until: int, calendars: list[str]
     return answer(shown, limit, F.col("order_ts"), F.col("instance_id"))
 
 
+def _shown(df: DataFrame, calendars: list[str] | None, declined: bool, cancelled: bool, since: int | None, until: int | None) -> DataFrame:
+    df = _narrowed(df, {"calendar_id": calendars}, ("order_ts", since), ("order_ts", until))
+    if not cancelled:
+        df = df.where("status <> 'cancelled'")
+    return df if declined else df.where("coalesce(self_response_status, '') <> 'declined'")
+
+
+def calendar_search(occurrences: DataFrame, index: DataFrame, text: str, since: int | None = None, until: int | None = None, calendars: list[str] | None = None, declined: bool = True, cancelled: bool = False, limit: int = 20) -> Result:
+    """Occurrences by words of their titles and places, the latest first; without words the filters alone."""
+    df = _shown(occurrences, calendars, declined, cancelled, since, until)
+    if wanted := search.query_tokens(text):
+        df = df.join(search.match_all(index, wanted).withColumnRenamed("id", "instance_id"), "instance_id", "left_semi")
+    return answer(df, limit, F.desc("order_ts"), F.col("instance_id"))
+
+
+def calendar_event(events: DataFrame, occurrences: DataFrame, attendees: DataFrame, event_id: object, calendar_id: object = None, limit: int = MOST) -> dict[str, Result]:
+    """A series with its rule as it was sent, who attends it, and its occurrences in order; in one calendar or in all."""
+    mine = {"calendar_id": calendar_id, "event_id": event_id}
+    return {
+        "event": answer(_narrowed(events, mine, None, None), MOST, F.col("calendar_id")),
+        "attendees": answer(_narrowed(attendees, mine, None, None), MOST, F.col("calendar_id"), F.col("email")),
+        "occurrences": answer(_narrowed(occurrences, mine, None, None), limit, F.col("order_ts"), F.col("instance_id")),
+    }
+
+
+def calendar_status(calendars: DataFrame, events: DataFrame, occurrences: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: live selected calendars, live events and series, occurrences and cancelled ones, and the last run."""
+    live = F.col("deleted_at").isNull()
+    last = F.max_by(F.struct("run_id", "status", "started_at"), F.struct("started_at", "run_id"))
+    parts = [
+        calendars.agg(F.count_if(live & F.col("selected")).alias("calendars")),
+        events.agg(F.count_if(live).alias("events"), F.count_if(live & (F.col("kind") == "series")).alias("series")),
+        occurrences.agg(F.count(F.lit(1)).alias("instances"), F.count_if(F.col("status") == "cancelled").alias("cancelled")),
+        runs.agg(last.alias("last_run")),
+    ]
+    out = parts[0].withColumn("_one", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p.withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
+
+
 def conflicts(occurrences: DataFrame, since: int, until: int, limit: int = MOST, width: int = 3600) -> Result:
     """Pairs of busy timed occurrences that overlap, where either begins in the range."""
     busy = occurrences.where("start_kind = 'timed' AND status <> 'cancelled' AND coalesce(transparency, 'opaque') = 'opaque' AND coalesce(self_response_status, '') <> 'declined'")
@@ -87,6 +128,12 @@ def entity(transactions: DataFrame, name: str, since=None, until=None, limit: in
     return out
 
 
+def of_kind(transactions: DataFrame, kind: str, dated: bool = False, limit: int = 20) -> Result:
+    """The latest transactions of a kind; dated: only those that say when the service is."""
+    df = transactions.where(F.col("kind") == kind)
+    return answer(df.where("service_dates IS NOT NULL") if dated else df, limit, F.desc("date"), F.col("message_id"))
+
+
 def catalog_search(docs: DataFrame, index: DataFrame | TextIndex, text: str, doc_type: str | None = None, least_tier: int | None = None, limit: int = 20) -> Result:
     """Documents by words (of postings, or of a kept index), the search widened until something is found; filters come before the limit; texts below tier 3 are withheld."""
     wanted = search.query_tokens(text)

@@ -101,3 +101,21 @@ def richest(rows: DataFrame, event: list[str], *ranking: Column) -> DataFrame:
     """The first row of each event in the order of `ranking`; end it with a unique column."""
     w = Window.partitionBy(*event).orderBy(*ranking)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def largest_events(rows: DataFrame, entity: list[str], event: list[str], least: int, *ranking: Column) -> DataFrame:
+    """The rows behind each entity's largest event of `least` rows or more, with `is_primary` on the one that stands for it.
+
+    event: the columns that make an event, the entity's first; of equally large
+    events the least by its columns. Counts come before the join, so only
+    chosen events' rows are ranked. Null entities count as one.
+    """
+    sizes = rows.groupBy(*event).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    own = [c for c in event if c not in entity]
+    best = sizes.groupBy(*entity).agg(F.min(F.struct((-F.col("_n")).alias("_n"), *own)).alias("_e")).select(*[F.col(c).alias(f"_{c}") for c in entity], *[F.col(f"_e.{c}").alias(f"_{c}") for c in own])
+    on = F.lit(True)
+    for c in event:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    chosen = rows.join(best, on, "left_semi")
+    w = Window.partitionBy(*event).orderBy(*ranking)
+    return chosen.withColumn("is_primary", F.row_number().over(w) == 1)

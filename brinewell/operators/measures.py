@@ -21,7 +21,10 @@ def ranked_share(groups: DataFrame, key: str, n: str) -> DataFrame:
         ends = groups.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).withColumn("_one", F.lit(1))
         g = groups.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one").withColumn("_at", F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0) * 128).cast("int")).drop("_one", "_lo", "_hi")
     else:
-        g = groups.withColumn("_at", F.least(F.ascii(F.col(key).cast("string")), F.lit(255)))
+        # borders: the keys of the 127 least hashes, an even draw from all keys whatever they begin with
+        drawn = groups.where(count <= low).select(F.col(key).alias("_k"), F.xxhash64(key).alias("_h")).where("_k IS NOT NULL").orderBy("_h", "_k").limit(127)
+        borders = drawn.agg(F.array_sort(F.collect_set("_k")).alias("_borders")).withColumn("_one", F.lit(1))
+        g = groups.withColumn("_one", F.lit(1)).join(F.broadcast(borders), "_one").withColumn("_at", F.size(F.filter("_borders", lambda b: b <= F.col(key)))).drop("_one", "_borders")
     g = g.withColumn("_bin", F.struct(level.alias("l"), F.when(count <= low, F.coalesce("_at", F.lit(-1))).otherwise(0).alias("c"))).drop("_at")
     per = g.groupBy("_bin").agg(F.sum(n).alias("_s"), F.count(F.lit(1)).alias("_k"))
     whole = Window.partitionBy(F.lit(1)).orderBy(F.col("_bin.l").desc(), F.col("_bin.c"))
@@ -132,6 +135,11 @@ def nested_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return per.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "_n")))).alias("counts"))
 
 
+def skip_counts(reports: DataFrame, skipped: str, who: str) -> DataFrame:
+    """(reason, n, users) over the arrays of reasons that reports hold; null and empty arrays count nothing."""
+    return reports.select(who, F.explode(skipped).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(who).alias("users"))
+
+
 def escalations(df: DataFrame, sender: str, reason: str, at: str, id: str) -> DataFrame:  # noqa: A002
     """(sender, n, reason, last): how many rows wait of each sender, and the reason of the last."""
     return df.groupBy(sender).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.col(reason), F.struct(at, id)).alias("reason"), F.max(at).alias("last"))

@@ -53,6 +53,51 @@ def calendar_agenda(spark, sf_dir):  # P-11, F-14
     return _told(spark, api.agenda(o, 1704700000, 1704900000, [1, 2]), o, "instance_id", "start_utc", "start_date")
 
 
+OCCURRENCE = "o AS (SELECT user_id % 5 AS calendar_id, user_id AS event_id, event_id AS instance_id, epoch_us(ts) // 1000000 AS order_ts, event_type, CASE WHEN event_id % 9 = 0 THEN 'cancelled' ELSE 'confirmed' END AS status, event_id % 8 = 0 AS declined FROM events)"
+
+
+def _calendar(spark, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    status = F.when(k % 9 == 0, "cancelled").otherwise("confirmed")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("calendar_id"), F.col("user_id").alias("event_id"), k.alias("instance_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("order_ts"), F.concat(F.lit("Team "), "event_type").alias("summary"), status.alias("status"), F.when(k % 8 == 0, "declined").alias("self_response_status"))
+
+
+@query(f"""WITH {OCCURRENCE}, f AS (SELECT * FROM o WHERE event_type = 'purchase' AND calendar_id IN (1, 2) AND status <> 'cancelled' AND NOT declined AND order_ts >= 1704500000)
+SELECT instance_id, order_ts, (SELECT count(*) FROM f) > 30 AS truncated FROM f ORDER BY order_ts DESC, instance_id LIMIT 30""")
+def calendar_search(spark, sf_dir):  # P-11
+    from brinewell.operators.search import postings
+
+    o = _calendar(spark, sf_dir)
+    r = api.calendar_search(o, postings(o, "instance_id", "summary"), "PURCHASE team*", since=1704500000, calendars=[1, 2], declined=False, limit=30)
+    return _told(spark, r, o, "instance_id", "order_ts")
+
+
+@query(f"""WITH {OCCURRENCE} SELECT 'event' AS part, c_custkey % 5 AS a, 'RRULE:FREQ=DAILY;COUNT=' || c_nationkey AS b FROM customer WHERE c_custkey = 11
+UNION ALL SELECT 'attendee', o_orderkey, o_orderstatus FROM (SELECT * FROM orders WHERE o_custkey = 11 ORDER BY o_orderkey LIMIT 100)
+UNION ALL SELECT 'occurrence', instance_id, status FROM (SELECT * FROM o WHERE event_id = 11 ORDER BY order_ts, instance_id LIMIT 100)""")
+def calendar_event(spark, sf_dir):  # P-11: a series, who attends it, its occurrences
+    c = table(spark, sf_dir, "customer")
+    series = c.select((F.col("c_custkey") % 5).alias("calendar_id"), F.col("c_custkey").alias("event_id"), F.concat(F.lit("RRULE:FREQ=DAILY;COUNT="), "c_nationkey").alias("recurrence"))
+    attends = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("calendar_id"), F.col("o_custkey").alias("event_id"), F.col("o_orderkey").alias("email"), F.col("o_orderstatus").alias("response"))
+    r = api.calendar_event(series, _calendar(spark, sf_dir), attends, 11, 1)
+    rows = [("event", x["calendar_id"], x["recurrence"]) for x in r["event"].rows]
+    rows += [("attendee", x["email"], x["response"]) for x in r["attendees"].rows]
+    rows += [("occurrence", x["instance_id"], x["status"]) for x in r["occurrences"].rows]
+    return spark.createDataFrame(rows, "part string, a long, b string")
+
+
+@query(f"""WITH {OCCURRENCE} SELECT (SELECT count(*) FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 6 > 0) AS calendars, (SELECT count(*) FROM customer WHERE c_custkey % 10 > 0) AS events, (SELECT count(*) FROM customer WHERE c_custkey % 10 > 0 AND c_custkey % 3 = 0) AS series,
+count(*) AS instances, count(*) FILTER (status = 'cancelled') AS cancelled, (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM orders) AS last_run, (SELECT arg_max(o_orderstatus, (o_orderdate, o_orderkey)) FROM orders) AS last_status FROM o""")
+def calendar_status(spark, sf_dir):  # P-11
+    gone = lambda c: F.when(c, F.lit(1)).alias("deleted_at")
+    calendars = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") > 0).alias("selected"), gone(F.col("s_suppkey") % 6 == 0))
+    k = F.col("c_custkey")
+    series = table(spark, sf_dir, "customer").select(F.when(k % 3 == 0, "series").otherwise("single").alias("kind"), gone(k % 10 == 0))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("started_at"))
+    r = api.calendar_status(calendars, series, _calendar(spark, sf_dir), runs)
+    return r.withColumns({"last_status": F.col("last_run.status"), "last_run": F.col("last_run.run_id")})
+
+
 PAID = "p AS (SELECT c_name AS entity_name, CASE WHEN c_custkey % 2 = 0 THEN 'USD' ELSE 'BRL' END AS currency, o_orderstatus AS kind, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 100) AS BIGINT) AS amount, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS message_id FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
@@ -84,6 +129,18 @@ def subscriptions(spark, sf_dir):  # P-18: charged at least twice in the last tw
     return g.where("charges >= 2").orderBy(F.desc("charges"), "entity_name", "kind").limit(15)
 
 
+@query(f"""WITH b AS (SELECT o_orderkey, o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') || CASE WHEN o_orderkey % 3 = 1 THEN ' to ' || strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d') ELSE '' END END AS served FROM orders)
+SELECT 'booking' AS kind, o_orderkey, date, served FROM (SELECT * FROM b WHERE o_orderpriority = '1-URGENT' AND served IS NOT NULL ORDER BY date DESC, o_orderkey LIMIT 14)
+UNION ALL SELECT 'appointment', o_orderkey, date, served FROM (SELECT * FROM b WHERE o_orderpriority = '2-HIGH' ORDER BY date DESC, o_orderkey LIMIT 10)""")
+def service_dates(spark, sf_dir):  # P-18: when a journey or an appointment was
+    k, day = F.col("o_orderkey"), lambda n: F.date_format(F.date_add("o_orderdate", n), "yyyy-MM-dd")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "booking").when(F.col("o_orderpriority") == "2-HIGH", "appointment")
+    served = F.when(k % 3 == 1, F.concat(day(7), F.lit(" to "), day(9))).when(k % 3 == 2, day(7))
+    t = table(spark, sf_dir, "orders").select(kind.alias("kind"), k.alias("message_id"), day(0).alias("date"), served.alias("service_dates"))
+    found = [*api.of_kind(t, "booking", dated=True, limit=14).rows, *api.of_kind(t, "appointment", limit=10).rows]
+    return spark.createDataFrame([tuple(r) for r in found], t.schema).toDF("kind", "o_orderkey", "date", "served")
+
+
 @query(f"""WITH {TYPED}, {TOKENS}, t AS (SELECT doc_id, count(*) AS size, count(*) FILTER (token LIKE 'license') AS tf FROM tok GROUP BY doc_id), z AS (SELECT avg(size) AS a FROM t),
 f AS (SELECT k.doc_id, tier, k.text, tf / (tf + 1.2 * (0.25 + 0.75 * size / a)) AS s FROM k JOIN t USING (doc_id), z WHERE tf > 0 AND doc_type = 'licence')
 SELECT doc_id, tier, CASE WHEN tier >= 3 THEN sha256(text) END AS digest, (SELECT count(*) FROM f) > 20 AS truncated FROM f ORDER BY s DESC, doc_id LIMIT 20""")

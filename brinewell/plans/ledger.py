@@ -57,6 +57,13 @@ def events_after_linking(spark, sf_dir):  # W-01, W-02, A-04
     return best.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum(money("value")).cast("double").alias("total"), F.min("anchor").alias("first_us"), F.max("anchor").alias("last_us"))
 
 
+@query(RICHEST + """, n AS (SELECT user_id, event_type, anchor, count(*) AS n FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 3), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type, anchor) AS p FROM n)
+SELECT r.event_id, r.user_id, r.event_type, r.anchor AS anchor_us, k = 1 AS is_primary FROM r JOIN b USING (user_id, event_type, anchor) WHERE p = 1""")
+def event_evidence(spark, sf_dir):  # P-18: the rows behind each user's largest event
+    e = linking.largest_events(_linked(spark, sf_dir), ["user_id"], ["user_id", "event_type", "anchor"], 3, F.col("value").isNotNull().desc(), F.col("value").desc(), F.col("event_id"))
+    return e.select("event_id", "user_id", "event_type", F.col("anchor").alias("anchor_us"), "is_primary")
+
+
 @query("""SELECT c_name, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment ILIKE '%auto%' GROUP BY c_name""")
 def counterparty_spend(spark, sf_dir):  # A-01, J-01, F-05

@@ -25,11 +25,13 @@ def document_titles(spark, sf_dir):  # X-11
     return d.select("doc_id", T.title_for(F.col("text"), F.concat(F.lit("scan_"), F.col("doc_id").cast("string"), F.lit(".PDF"))).alias("title"))
 
 
-@query("""SELECT conv_id, turn, trim(text, ' ') AS reply FROM conversations""")
-def own_replies(spark, sf_dir):  # X-34
+@query("""SELECT conv_id, turn, regexp_replace(CASE turn % 7 WHEN 5 THEN regexp_replace(text, '<[^>]+>', ' ', 'g') ELSE text END, '^\\s+|\\s+$', '', 'g') AS reply FROM conversations""")
+def own_replies(spark, sf_dir):  # X-34: every way in which history is quoted
     c = table(spark, sf_dir, "conversations")
-    mark = F.element_at(F.array(F.lit("\n> quoted"), F.lit("\nOn Mon, Jan 5, Someone wrote:\nmore"), F.lit("\n-- Original Message --\nmore")), (F.col("turn") % 3 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.trim(F.regexp_replace(T.own_reply(F.concat("text", mark)), r"\n$", "")).alias("reply"))
+    after = ("\n> quoted\n>> more", "\nOn Mon, Jan 5, 2026 at 10:00\nSomeone <a@b.c> wrote:\nmore", "\r\nEm seg., 5 de jan. de 2026, Fulano escreveu:\r\nmais", "\n-----Original Message-----\nmore", "\nFrom: Someone\nSent: Monday\nmore", "<br>\n-- \n+55 11 98765-4321", "\n--\nName")
+    kind = F.col("turn") % len(after)
+    body = F.concat("text", F.get(F.array(*map(F.lit, after)), kind.cast("int")))
+    return c.select("conv_id", "turn", T.own_reply(body, kind == 5).alias("reply"))
 
 
 @query("""SELECT c_custkey, '•••' || right(phone, 4) AS label, regexp_replace(phone, '[^0-9]', '', 'g') AS digits, 'cal:' || left(sha256(phone), 10) AS ref FROM (SELECT c_custkey, '+55 (11) ' || printf('%05d', c_custkey % 100000) || '-' || printf('%04d', c_custkey % 10000) AS phone FROM customer)""")

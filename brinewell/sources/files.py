@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,27 @@ def csv_table(spark: SparkSession, path: str, schema: str | T.StructType, sep: s
     return raw.select(*[c.alias(f.name) for c, f in zip(cols, wanted, strict=True)])
 
 
+def tsv_rows(spark: SparkSession, path: str, required: str, first: tuple[str, ...]) -> DataFrame:
+    """A tab-separated file by its header's names, all text; without `required` among them the first row is data, and the columns are named by place.
+
+    By place the leading ones are `first`; the others keep what the first row
+    says of them. Short rows are filled with empty texts, rows without a value
+    of `required` are left out. All files below path have the header of the
+    first. An empty file gives no rows of the columns `first`.
+    """
+    read = lambda header, schema=None: spark.read.csv(path, sep="\t", header=header, schema=schema, quote='"', escape='"')
+    raw = read(False)
+    top = raw.first() if raw.columns else None
+    if top is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in first]))
+    names = [(c or "").strip() for c in top]
+    by_name = required in names
+    columns = names if by_name else [*first, *names[len(first) :]]
+    df = read(by_name, T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(columns))])).toDF(*columns)
+    filled = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    return filled.where(F.trim(f"`{required}`") != "")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line, malformed ones dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -210,6 +233,44 @@ def current(spark: SparkSession, path: str) -> str | None:
     return spark.read.text(f"{path}/CURRENT").first()[0]
 
 
+def bucketed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table that ``merge_buckets`` keeps; None before the first merge."""
+    now = current(spark, path)
+    return spark.read.option("mergeSchema", True).parquet(*[f"{path}/{folder}" for folder in json.loads(now).values()]) if now else None
+
+
+def merge_buckets(rows: DataFrame, path: str, key: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = 256) -> list[int]:
+    """Merges rows into the table at path and returns the buckets of keys that were written again; the others stay as they are.
+
+    merge takes the stored rows of those buckets and the new ones together, and
+    must give the same rows when it is run again. Buckets go by a hash of the
+    key; nulls count as a value. CURRENT holds the folder of each bucket and is
+    replaced in one step at the end, so readers see whole versions and a run
+    that fails changes nothing. `buckets` is fixed by the first merge: each
+    merge writes its touched share of the table, so take as many as one task's
+    memory and the table's size ask for.
+    """
+    spark = rows.sparkSession
+    now = current(spark, path)
+    have = json.loads(now) if now else {}
+    n = int(next(iter(have)).split("/")[1]) if have else buckets
+    numbered = lambda df: df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(n)).cast("int"))
+    new = cut(numbered(rows), "merged-rows")
+    touched = sorted(r[0] for r in new.select("_bucket").distinct().collect())  # `buckets` values at most
+    if not touched:
+        return []
+    old = [f"{path}/{have[f'{b}/{n}']}" for b in touched if f"{b}/{n}" in have]
+    plain = new.drop("_bucket")
+    every = spark.read.option("mergeSchema", True).parquet(*old).unionByName(plain, allowMissingColumns=True) if old else plain
+    version = f"v-{uuid.uuid4().hex}"
+    numbered(merge(every)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{version}")
+    kept = {b for b in touched if exists(spark, f"{path}/{version}/_bucket={b}")}
+    gone = {f"{b}/{n}" for b in touched}
+    after = {k: v for k, v in have.items() if k not in gone} | {f"{b}/{n}": f"{version}/_bucket={b}" for b in kept}
+    point_at(spark, path, json.dumps(after))
+    return touched
+
+
 #: A null in csv and tsv, told from an empty text; a text that is just this reads as null.
 NULL = "\\N"
 

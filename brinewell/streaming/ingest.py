@@ -10,25 +10,23 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from brinewell.operators.upkeep import latest
-from brinewell.sources.files import current, write_guarded
+from brinewell.sources.files import merge_buckets
 
 
-def stream_upserts(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, key: list[str], version: str, extract: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Every micro-batch of files is merged into the versioned table at `target`, the highest version of each key winning.
+def stream_upserts(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, key: list[str], version: str, extract: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 256) -> StreamingQuery:
+    """Every micro-batch of files is merged into the bucketed table at `target`, the highest version of each key winning.
 
     Which files are new is the checkpoint's business, so rows about old events
     that arrive late are taken like any other; no event-time watermark drops
-    them. A batch that is run again after a failure gives the same table.
+    them. A batch writes only the buckets of the keys that it touches (`bucketed`
+    reads them); run again after a failure it gives the same table.
     """
 
+    def newest(every: DataFrame) -> DataFrame:
+        return latest(every, key, F.col(version).desc(), F.xxhash64(*[F.col(c) for c in every.columns]))
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        rows = extract(batch) if extract else batch
-        old = current(s, target)
-        every = s.read.parquet(old).unionByName(rows, allowMissingColumns=True) if old else rows
-        out = latest(every, key, F.col(version).desc(), F.xxhash64(*[F.col(c) for c in every.columns]))
-        if not out.isEmpty():
-            write_guarded(out, target, 0.0)
+        merge_buckets(extract(batch) if extract else batch, target, key, newest, buckets)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

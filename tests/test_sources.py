@@ -95,5 +95,38 @@ def test_stream_equals_batch(spark, tmp_path):
         q = stream_upserts(spark, str(src), schema, out, f"file://{tmp_path}/cp", ["id"], "ver")
         q.awaitTermination(120)
         assert q.exception() is None
-    got = sorted(map(tuple, spark.read.parquet(files.current(spark, out)).collect()))
+    got = sorted(map(tuple, files.bucketed(spark, out).collect()))
     assert got == [(i, 60 + i, f"v{60 + i}") for i in range(30)]
+
+
+def test_merge_writes_touched_buckets_only(spark, tmp_path):
+    out = f"file://{tmp_path}/t"
+    newest = lambda df: df.groupBy("id").agg(F.max_by("v", "ver").alias("v"), F.max("ver").alias("ver"))
+    assert files.bucketed(spark, out) is None
+    rows = spark.createDataFrame([(i, "a", 1) for i in range(40)] + [(None, "none", 1)], "id long, v string, ver long")
+    assert files.merge_buckets(rows.limit(0), out, ["id"], newest, 8) == [] and files.bucketed(spark, out) is None
+    assert files.merge_buckets(rows, out, ["id"], newest, 8) == list(range(8))
+    before = json.loads(files.current(spark, out))
+    some = spark.createDataFrame([(7, "b", 2), (7, "b", 2), (7, "old", 0)], rows.schema)
+    touched = files.merge_buckets(some, out, ["id"], newest, 99)  # the first merge fixed the number
+    assert len(touched) == 1
+    after = json.loads(files.current(spark, out))
+    assert [k for k in before if before[k] != after[k]] == [f"{touched[0]}/8"]
+    files.merge_buckets(some, out, ["id"], newest)  # run again
+    got = {(r["id"], r["v"]) for r in files.bucketed(spark, out).collect()}
+    assert got == {(i, "b" if i == 7 else "a") for i in range(40)} | {(None, "none")}
+    assert files.bucketed(spark, out).count() == 41
+    files.merge_buckets(some, out, ["id"], lambda df: df.where("id <> 7"))
+    assert files.bucketed(spark, out).where("id = 7").isEmpty()
+
+
+def test_tsv_by_name_and_by_place(spark, tmp_path):
+    new, old, none = tmp_path / "new.tsv", tmp_path / "old.tsv", tmp_path / "none.tsv"
+    new.write_text("message_id\tscore\tcategory\nm1\t3\tbill\n\t4\tnone\nm2\n")
+    old.write_text("bill\tm1\textra\nnote\tm2\n\n")
+    none.write_text("")
+    first = ("category", "message_id")
+    read = lambda p: files.tsv_rows(spark, f"file://{p}", "message_id", first)
+    assert [r.asDict() for r in read(new).collect()] == [{"message_id": "m1", "score": "3", "category": "bill"}, {"message_id": "m2", "score": "", "category": ""}]
+    assert [tuple(r) for r in read(old).collect()] == [("bill", "m1", "extra"), ("note", "m2", "")] and read(old).columns == ["category", "message_id", "extra"]
+    assert read(none).columns == list(first) and read(none).isEmpty()
