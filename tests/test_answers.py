@@ -35,7 +35,7 @@ def test_calendar_evidence(spark):
     same, near, whole = "exact_start", "within_tolerance", "same_day"
     assert by == sorted(
         [("timed", "same", same, "high", 0, "title_matched")] * 2
-        + [("timed", "near", near, "low", -1800, "declined,title_matched"), ("timed", "long", "overlap", "low", -90_000, "tentative,title_mismatch"), ("timed", "later", "overlap", "low", 3601, "title_mismatch"), ("timed", "whole", whole, "medium", None, "title_matched")]
+        + [("timed", "near", near, "low", -1800, "declined,title_matched"), ("timed", "long", "overlap", "low", -90_000, "tentative,title_mismatch"), ("timed", "whole", whole, "medium", None, "title_matched")]
         + [("open", "same", same, "high", 0, "")] * 2
         + [("open", "near", near, "low", -1800, "declined"), ("open", "long", "overlap", "medium", -90_000, "tentative"), ("open", "whole", whole, "medium", None, "")]
         + [("day", "same", whole, "medium", None, "")] * 2
