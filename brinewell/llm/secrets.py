@@ -36,7 +36,11 @@ def find_candidates(docs: DataFrame, text: str, doc_id: str, path: str | None) -
     """(doc_id, path, at, nth, candidate, before, after): runs of 16 or more code characters with a digit, a capital inside, or 20 letters.
 
     at is the place of the word (from 0) that holds the candidate, nth its place
-    among that word's candidates; before and after are the neighbouring words.
+    among that word's candidates. before and after are what stands next to it:
+    the characters up to the next candidate of its word, that candidate and
+    the characters beyond it, and where the word begins or ends there, the three
+    words before and the one after. So what a finding carries doesn't grow
+    with the candidates of its word.
     """
     t = F.col(f"`{text}`")
     where = F.col(f"`{path}`").cast("string") if path else F.lit(None).cast("string")
@@ -47,13 +51,21 @@ def find_candidates(docs: DataFrame, text: str, doc_id: str, path: str | None) -
         near = lambda i: F.array_join(F.slice(w, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
         return F.transform(at, lambda i: F.struct(i.cast("long").alias("at"), F.get(w, i).alias("w"), near(i).alias("b"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("a")))
 
+    def each(h: Column) -> Column:
+        """The candidates m of a word and the n + 1 gaps g around them, by their places."""
+        last = F.size(h["m"]) - 1
+        of = lambda k, i: F.coalesce(F.get(h[k], i), F.lit(""))
+        head = lambda i: F.concat(of("g", i - 1), of("m", i - 1), of("g", i))
+        tail = lambda i: F.concat(of("g", i + 1), of("m", i + 1), of("g", i + 2))
+        before = lambda i: F.when(i <= 1, F.concat_ws(" ", h["b"], head(i))).otherwise(head(i))
+        after = lambda i: F.when(i >= last - 1, F.concat_ws(" ", tail(i), h["a"])).otherwise(tail(i))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("nth"), F.get(h["m"], i).alias("candidate"), before(i).alias("before"), after(i).alias("after")))
+
     found = slim.select("doc_id", "path", F.explode(let(words(F.col("t")), hits)).alias("h"))
-    each = found.select("doc_id", "path", "h", F.posexplode(F.regexp_extract_all("h.w", F.lit(CANDIDATE), 0)).alias("nth", "candidate"))
+    parts = F.struct(F.regexp_extract_all("h.w", F.lit(CANDIDATE), 0).alias("m"), F.split("h.w", CANDIDATE, -1).alias("g"), F.col("h.b").alias("b"), F.col("h.a").alias("a"))
+    out = found.select("doc_id", "path", F.col("h.at").alias("at"), F.explode(let(parts, each)).alias("x")).select("doc_id", "path", "at", "x.*")
     c = F.col("candidate")
-    each = each.where(c.rlike("[0-9]") | c.rlike("[a-z].*[A-Z]") | c.rlike("[A-Za-z]{20}"))
-    head = F.expr("substring_index(h.w, candidate, 1)")
-    tail = F.substr("h.w", F.length(head) + F.length(c) + 1)
-    return each.select("doc_id", "path", F.col("h.at").alias("at"), "nth", "candidate", F.concat_ws(" ", "h.b", head).alias("before"), F.concat_ws(" ", tail, "h.a").alias("after"))
+    return out.where(c.rlike("[0-9]") | c.rlike("[a-z].*[A-Z]") | c.rlike("[A-Za-z]{20}"))
 
 
 def dictionary(docs: DataFrame, text: str) -> DataFrame:
