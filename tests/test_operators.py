@@ -172,3 +172,9 @@ def test_sizes_stop_at_the_largest_unit(spark):
     df = spark.createDataFrame([(5,), (2048,), (3 * 2**20,), (5 * 2**30,), (None,)], "n long")
     got = [tuple(r) for r in df.select(fx.size_text(F.col("n"), "MB"), fx.size_text(F.col("n"))).collect()]
     assert got == [("5 B", "5 B"), ("2.0 KB", "2.0 KB"), ("3.0 MB", "3.0 MB"), ("5120.0 MB", "5.0 GB"), (None, None)]
+
+
+def test_blanks_part_the_words_of_utterances(spark):
+    texts = [None, "", "x" * 25 + " y", "one\ttwo " + "y" * 20, "a   " + "x" * 30, "word\n" * 5, "this is a fair text for it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i")
+    assert [r[0] for r in df.select(fx.unusable(F.col("t"))).collect()] == ["ok", "short", "few words", "few words", "ok", "few words", "ok"]
