@@ -61,6 +61,14 @@ def test_appointments_by_person(spark):
     assert intervals.appointment_matches(probes, cal, 1000).count() == 4
 
 
+def test_appointment_pairs_are_not_dealt_out_again(spark):
+    probes = spark.createDataFrame([(1, 100, "Big x")], "probe long, start long, title string")
+    cal = spark.createDataFrame([(7, 100, "cancelled", None, "an X"), (8, 900, None, "declined", "y")], "instance long, start long, status string, response string, summary string")
+    got = intervals.appointment_matches(probes, cal, 1000)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 0, "exact_start", "low", ["cancelled", "title_matched"]), (1, 8, 800, "within_tolerance", "low", ["declined", "title_mismatch"])]
+
+
 def test_calendar_look_ups(spark):
     rows = [("c", "e", "i1", 10, "Team lunch", "confirmed", None), ("c", "e", "i2", 20, "Team lunch", "cancelled", None), ("d", "f", "i3", 20, "Lunch team", None, "declined"), ("d", "f", "i4", 20, None, "confirmed", None)]
     o = spark.createDataFrame(rows, "calendar_id string, event_id string, instance_id string, order_ts long, summary string, status string, self_response_status string")
