@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brinewell.functions import speech
@@ -109,6 +110,28 @@ def test_gazetteer_and_radius(spark, tmp_path):
     assert {(r["o"], r["key"]) for r in geo.within_miles(origins, places, "o", "key", 250.0, 1).collect()} == {("02139", "02139"), ("10001", "10001")}
 
 
+def _peak(spark, since=-1):
+    """The last stage's id, and the most MB that a stage after `since` took in its tasks together."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    seen = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    rows = [(seen.apply(i).stageId(), seen.apply(i).peakExecutionMemory() / 1e6) for i in range(seen.size())]
+    return max((i for i, _ in rows), default=-1), max((mb for i, mb in rows if i > since), default=0)
+
+
+def test_nearest_places_equal_all_pairs_and_positions_are_searched_once(spark):
+    places = spark.sql("SELECT id AS key, CASE WHEN id < 1500 THEN 10 + pmod(xxhash64(id), 997) / 800.0 WHEN id < 2500 THEN 55 + pmod(xxhash64(id), 997) / 33.0 ELSE pmod(xxhash64(id), 997) / 6.0 - 83 END AS lat, CASE WHEN id < 1500 THEN 20 + pmod(xxhash64(id, 1), 991) / 700.0 ELSE pmod(xxhash64(id, 1), 991) / 9.0 END AS lon FROM range(4000)")
+    places = places.union(spark.sql("SELECT 4000 + id, 10.5D, 20.5D FROM range(30)"))
+    origins = spark.sql("SELECT id AS o, CASE WHEN id < 200 THEN 10 + id / 160.0 ELSE (id - 200) * 0.52 - 10 END AS lat, CASE WHEN id < 200 THEN 20 + id / 150.0 ELSE (id - 200) * 0.6 END AS lon FROM range(390)").union(spark.sql("SELECT o, 10.5D, 20.5D FROM (SELECT explode(array(7L, 400L, 401L)) AS o)"))
+    every = geo.within_miles(origins, places, "o", "key", 250.0)
+    want = every.withColumn("n", F.row_number().over(Window.partitionBy("o").orderBy("miles", "key"))).where("n <= 5").drop("n")
+    assert rows(geo.within_miles(origins, places, "o", "key", 250.0, 5)) == rows(want)
+    spot = lambda name: spark.sql(f"SELECT id AS {name}, 10.5D AS lat, 20.5D AS lon FROM range(3000)")
+    last, _ = _peak(spark)
+    got = geo.within_miles(spot("o"), spot("key"), "o", "key", 250.0, 5).groupBy("key").count()
+    assert rows(got) == [(i, 3000) for i in range(5)]
+    assert _peak(spark, last)[1] < 400
+
+
 @pytest.mark.parametrize(
     ("said", "left"),
     [
