@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinewell.functions.speech import let
 from brinewell.operators.search import tokens
 from brinewell.session import cut
 from brinewell.sources.files import current, point_at
@@ -17,12 +18,30 @@ from brinewell.sources.files import current, point_at
 #: Folders that the postings of a segment are dealt to, by the first two characters of the token.
 BUCKETS = 64
 _HEAD = 2
+#: Ids that may be broadcast (8 MB); more are joined by key.
+FEW = 500_000
 
 
 def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.left(token, F.lit(_HEAD))), F.lit(buckets)).cast("int")
 
 
+def _counts(tokens: Column) -> Column:
+    """struct(size, tfs): how many tokens there are, and each distinct one with its count, in token order."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return F.struct(F.size(tokens).cast("long").alias("size"), let(F.array_sort(tokens), runs).alias("tfs"))
+
+
+def wanted_rows(rows: DataFrame, ids: DataFrame, id: str) -> DataFrame:  # noqa: A002
+    """The rows whose id is among ids; up to FEW of those, counted first, go to the rows, so that texts stay where they lie."""
+    few = ids.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(ids) if few else ids, id, "left_semi")
+
+
 @dataclass
 class TextIndex:
     """An opened index. A segment is a folder of postings (token, id, tf, size), of marks (id, mark, size) and of dead ids.
@@ -84,14 +103,16 @@ class TextIndex:
         """A further segment from (id, text) rows; the pointer is moved last, so readers see all of it or nothing."""
         name = f"seg-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
-        # texts are tokenised once, counted once and then put in order
-        made = cut(rows.select("id", F.xxhash64("text").alias("mark"), tokens(F.col("text")).alias("_t")), "index-tokens")
-        made.groupBy("id").agg(F.sum(F.col("mark").cast("decimal(20,0)")).alias("mark"), F.sum(F.size("_t")).cast("long").alias("size")).write.parquet(f"{at}/marks")
-        sizes = self.spark.read.parquet(f"{at}/marks").select("id", "size")
-        counted = made.select("id", F.explode("_t").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf")).join(sizes, "id")
+        # a document's rows meet once, as texts; its tokens are counted in its own row, written once and then put in order
+        said = rows.groupBy("id").agg(F.sum(F.xxhash64("text").cast("decimal(20,0)")).alias("mark"), F.concat_ws("\n", F.collect_list("text")).alias("text"))
+        made = said.select("id", F.col("mark").cast("decimal(30,0)").alias("mark"), let(tokens(F.col("text")), _counts).alias("_c"))
+        made = cut(made.select("id", "mark", F.col("_c.size").alias("size"), F.col("_c.tfs").alias("_tfs")), "index-counts")
+        made.select("id", "mark", "size").write.parquet(f"{at}/marks")
+        sizes = made.select("id", "size")
+        placed = made.select("id", "size", F.inline("_tfs")).select("token", "id", "tf", "size")
+        bucket = _bucket(F.col("token"), self.buckets)
         order = ["bucket", "token", "id"]
-        placed = cut(counted.select("token", "id", "tf", "size", _bucket(F.col("token"), self.buckets).alias("bucket")), "index-counts")
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{at}/postings")
+        placed.repartitionByRange(bucket, "token", "id").withColumn("bucket", bucket).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{at}/postings")
         (dead if dead is not None else sizes.select("id").limit(0)).write.parquet(f"{at}/dead")
         new = TextIndex(self.spark, self.path, [*self.segments, name], self.buckets, stamp=stamp, key=rows.schema["id"].dataType.simpleString())
         new.docs, new.total = (int(x or 0) for x in new.marks().where("size > 0").agg(F.count(F.lit(1)), F.sum("size")).first())
@@ -138,4 +159,4 @@ def synced(index: TextIndex, docs: DataFrame, id: str, text: str, stamp: str = "
     at = f"{index.path}/diff-{uuid.uuid4().hex}"
     moved.select("id", F.col("mark").isNotNull().alias("was"), F.col("_now").isNotNull().alias("held")).write.parquet(at)
     diff = docs.sparkSession.read.parquet(at)
-    return index._added(rows.join(diff.where("held").select("id"), "id", "left_semi"), diff.where("was").select("id"), stamp)
+    return index._added(wanted_rows(rows, diff.where("held").select("id"), "id"), diff.where("was").select("id"), stamp)

@@ -1,6 +1,7 @@
 """The kept full-text index: what upkeep changes, what it leaves, and what a search reads."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from brinewell.operators import search, textindex
 
@@ -75,3 +76,31 @@ def test_rank_with_kept_sizes(spark, path):
     a = {r["id"]: r["score"] for r in search.ranked(index.postings(["lease", "flat"]), ["lease", "flat"], totals=index.totals()).collect()}
     b = {r["id"]: r["score"] for r in search.ranked(search.postings(docs(spark, [r for r in DOCS if r[0] is not None]), "id", "text"), ["lease", "flat"]).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_counts_of_a_document_in_its_row(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (1, "a c Σ"), (2, None), (3, "é e"), (4, "!")], "d long, t string")
+    got = docs.groupBy("d").agg(F.concat_ws("\n", F.collect_list("t")).alias("t")).select("d", textindex._counts(search.tokens(F.col("t"))).alias("c")).orderBy("d").select("c.size", "c.tfs").collect()
+    assert [(r["size"], [tuple(x) for x in r["tfs"]]) for r in got] == [(6, [("a", 2), ("b", 2), ("c", 1), ("σ", 1)]), (0, []), (2, [("e", 2)]), (0, [])]
+
+
+def test_few_ids_go_to_the_rows(spark, monkeypatch):
+    docs, ids = spark.range(10).withColumnRenamed("id", "d"), spark.range(3, 20, 4).withColumnRenamed("id", "d")
+    assert sorted(r[0] for r in textindex.wanted_rows(docs, ids, "d").collect()) == [3, 7]
+    monkeypatch.setattr(textindex, "FEW", 2)
+    assert sorted(r[0] for r in textindex.wanted_rows(docs, ids, "d").collect()) == [3, 7]
+
+
+def test_an_index_moves_each_text_and_each_posting_once(spark, tmp_path):
+    jvm, sc = spark._jvm, spark.sparkContext
+
+    def records():
+        s = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(s.apply(i).shuffleWriteRecords() for i in range(s.size()))
+
+    before = records()
+    docs = spark.range(400).selectExpr("id d", "array_join(transform(sequence(1, 500), x -> concat('w', (x * 31 + id) % 900)), ' ') t")
+    index = textindex.built(docs, "d", "t", f"file://{tmp_path}/i")
+    assert index.totals() == (400, 200_000)
+    n = index.postings().count()
+    assert records() - before < 1.2 * n
