@@ -180,7 +180,7 @@ f AS (SELECT *, greatest(1, coalesce(nullif(list_position(hit, true), 0), 1) - 6
 SELECT doc_id, CASE WHEN a > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(range(a, least(a + 12, len(ws) + 1)), lambda i: CASE WHEN hit[i] THEN '[' || ws[i] || ']' ELSE ws[i] END), ' ') || CASE WHEN a + 12 <= len(ws) THEN ' …' ELSE '' END AS snippet FROM f""")
 def fts_snippet(spark, sf_dir):  # T-07: the stretch around the first hit
     hits = kept_index(spark, sf_dir).postings(["license"]).select(F.col("id").alias("doc_id"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(hits, "doc_id", "left_semi")
+    d = textindex.wanted_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), hits, "doc_id")
     return d.select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
 
 
