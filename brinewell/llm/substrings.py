@@ -32,10 +32,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word between ASCII white space, unchanged otherwise."""
-    w = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, w), _U, len(w))
+def words_of(text: str | None) -> list[bytes]:
+    """The words between ASCII white space, unchanged otherwise."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
 
 
 def _grams(h: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
@@ -55,13 +59,13 @@ def _least(v: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (span - have)], v[span - have :]) if span > have else v
 
 
-def segments(h: np.ndarray, width: int, hot: np.ndarray, with_content: bool = True) -> tuple[np.ndarray, ...]:
+def segments(h: np.ndarray, width: int, hot: np.ndarray, counting: bool = False) -> tuple[np.ndarray, ...]:
     """Runs of windows that share the least n-gram hash among their words: key, content hash, first window, windows, weight, hot.
 
     Equal windows have equal keys, wherever they stand. weight is 2 where the
     run may hold a window twice. Runs with a key in `hot` fall apart into
     windows that are keyed by their whole content; `hot` is a bit map of keys (see
-    ``_hot``), or empty. Without content and hot keys, the content hashes are 0.
+    ``_hot``), or empty. For counting, without hot keys, the content hashes are 0; otherwise, the weights are.
     """
     n = len(h) - width + 1
     if n < 1:
@@ -78,7 +82,7 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray, with_content: bool = Tr
     size = np.diff(np.concatenate([start, [n]]))
     key = least[start]
     content = np.zeros(len(start), _U)
-    if with_content:  # a polynomial of window hashes, moved to the run's start
+    if not counting:  # a polynomial of window hashes, moved to the run's start
         windows = _mix(g[: n] ^ _mix(g[width - GRAM :][:n]))
         for k in range(GRAM, width - GRAM, GRAM):
             windows = _mix(windows) + g[k : k + n]
@@ -86,12 +90,15 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray, with_content: bool = Tr
         down = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, _INVERSE, _U)]))
         sums = np.concatenate([[_U(0)], np.cumsum(windows * up, dtype=_U)])
         content = _mix((sums[start + size] - sums[start]) * down[start])
-    # the key stands twice among a run's n-grams: a window may repeat in it
-    reach = np.minimum(size + span - 1, 2 * span)
-    at = start[:, None] + np.arange(2 * span)[None, :]
-    same = (g[np.minimum(at, len(g) - 1)] == key[:, None]) & (np.arange(2 * span)[None, :] < reach[:, None])
-    weight = np.minimum(same.sum(1), 2)
-    weight[size > span] = 2
+    weight = np.zeros(len(start), np.int64)
+    if counting:  # the key stands twice among a run's n-grams: a window may repeat in it
+        weight += np.where(size > span, 2, 1)
+        s = np.sort(g)
+        r = np.flatnonzero(s[np.minimum(np.searchsorted(s, key) + 1, len(s) - 1)] == key)  # beside these, no key stands twice in the text
+        reach = np.minimum(size[r] + span - 1, 2 * span)
+        at = start[r][:, None] + np.arange(2 * span)[None, :]
+        same = (g[np.minimum(at, len(g) - 1)] == key[r][:, None]) & (np.arange(2 * span)[None, :] < reach[:, None])
+        weight[r[same.sum(1) > 1]] = 2
     whole = np.zeros(len(key), bool)
     if len(hot):
         slot = key & _U(64 * len(hot) - 1)
@@ -104,7 +111,7 @@ def segments(h: np.ndarray, width: int, hot: np.ndarray, with_content: bool = Tr
             key = np.concatenate([key[k], _mix(windows[w] + _U(99))])
             content = np.concatenate([content[k], second])
             start, size = np.concatenate([start[k], w]), np.concatenate([size[k], np.ones(len(w), np.int64)])
-            weight = np.concatenate([weight[k], np.ones(len(w), np.int64)])
+            weight = np.concatenate([weight[k], np.zeros(len(w), np.int64)])
             whole = np.concatenate([whole[k], np.ones(len(w), bool)])
     return key, content, start, size, weight, whole
 
@@ -121,7 +128,7 @@ def _counts(docs: DataFrame, width: int, hot) -> DataFrame:
             for k in range(0, b.num_rows, 500):
                 keys, weights = [], []
                 for t in b.column(2).slice(k, 500).to_pylist():
-                    s = segments(word_hashes(t), width, hot.value, False)
+                    s = segments(word_hashes(words_of(t)), width, hot.value, True)
                     keys.append(s[0])
                     weights.append(s[4])
                 u, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -150,7 +157,7 @@ def _occurrences(docs: DataFrame, width: int, hot) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                found = [segments(word_hashes(t), width, hot.value) for t in part.column(2).to_pylist()]
+                found = [segments(word_hashes(words_of(t)), width, hot.value) for t in part.column(2).to_pylist()]
                 row = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
                 key, content, start, size = (np.concatenate([f[i] for f in found]) for i in range(4))
                 hot_row = np.concatenate([f[5] for f in found])
@@ -163,21 +170,27 @@ def _occurrences(docs: DataFrame, width: int, hot) -> DataFrame:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, width: int, shards: int) -> DataFrame:
-    """The words of every class, taken from its first occurrence, with its index shard."""
-    wanted = classes.groupBy(F.col("at.doc").alias("doc"), F.col("at.version").alias("version")).agg(F.collect_list(F.struct("key", "content", "size", F.col("at.start").alias("start"), "n")).alias("s"))
-    rows = docs.join(wanted, ["doc", "version"]).select("doc", "t", "s")
+    """The words of every class, taken from its first occurrence, with its index shard; docs: doc, version, t and what else the result keeps.
+
+    All columns of docs go through the join, so that it shares the exchange of
+    the one that brings the spans to the texts: texts move once.
+    """
+    wanted = classes.groupBy(F.col("at.doc").alias("doc"), F.col("at.version").alias("version")).agg(F.collect_list(F.struct("key", "content", "size", F.col("at.start").alias("start"), "n")).alias("_s"))
+    rows = docs.join(wanted, ["doc", "version"])
+    # a document that stands in the table twice gives its classes' words once; its rows are together after the join
+    rows = rows.dropDuplicates(["doc", "version"])
+    doc, t, classed = (rows.columns.index(c) for c in ("doc", "t", "_s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                h = word_hashes(b.column(1)[k].as_py())
-                s = b.column(2)[k].values
+                w = words_of(b.column(t)[k].as_py())
+                s = b.column(classed)[k].values
                 start, size = s.field("start").to_numpy(), s.field("size").to_numpy()
-                parts = [h[i : i + m + width - 1].tobytes() for i, m in zip(start.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([s.field("key"), s.field("content"), s.field("size"), pa.array(np.full(len(s), b.column(0)[k].as_py(), np.int64)), s.field("start"), s.field("n"), pa.array(parts, pa.binary())], names=["key", "content", "size", "doc", "start", "n", "words"])
+                parts = [b" ".join(w[i : i + m + width - 1]) for i, m in zip(start.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([s.field("key"), s.field("content"), s.field("size"), pa.array(np.full(len(s), b.column(doc)[k].as_py(), np.int64)), s.field("start"), s.field("n"), pa.array(parts, pa.binary())], names=["key", "content", "size", "doc", "start", "n", "words"])
 
-    # a document that stands in the table twice gives its classes' words twice
-    out = rows.mapInArrow(run, "key long, content long, size int, doc long, start int, n long, words binary").dropDuplicates(["key", "content", "size"])
+    out = rows.mapInArrow(run, "key long, content long, size int, doc long, start int, n long, words binary")
     return out.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
@@ -193,12 +206,13 @@ def _first_starts(texts: DataFrame, width: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         size = table["size"].to_numpy().astype(np.int64)
         doc, start = table["doc"].to_numpy(), table["start"].to_numpy().astype(np.int64)
-        flat = np.frombuffer(b"".join(w + b"\0" * 8 for w in table["words"].to_pylist()), _U)
         length = size + width  # with the separator
+        flat = np.zeros(length.sum(), _U)
         begin = np.concatenate([[0], np.cumsum(length)[:-1]])
         owner = np.repeat(np.arange(len(size)), length)
         within = np.arange(len(flat)) - begin[owner]
         end = within == length[owner] - 1
+        flat[~end] = word_hashes([w for part in table["words"].to_pylist() for w in part.split()])
         symbols = np.unique(flat[~end], return_inverse=True)
         text = np.zeros(len(flat), np.int64)
         text[~end] = symbols[1] + 1
@@ -227,7 +241,7 @@ def _first_starts(texts: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
-    """(doc, version, spans): the word ranges of each document covered by windows that start earlier elsewhere; docs: doc, version, t.
+    """(doc, version, spans): the word ranges of each document covered by windows that start earlier elsewhere; docs: doc, version, t and others.
 
     Windows are routed by the least hash of their n-grams; a routing value with
     one segment in the whole corpus can't hold a repeated window and goes.
@@ -238,14 +252,15 @@ def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
     """
     sc = docs.sparkSession.sparkContext
     none = sc.broadcast(np.empty(0, _U))
-    counts = cut(_counts(docs, width, none).where("w > 1"), "substrings-keys")
+    slim = docs.select("doc", "version", "t")
+    counts = cut(_counts(slim, width, none).where("w > 1"), "substrings-keys")
     hot = sc.broadcast(_hot(counts, MOST, MAP_BITS))
     known = counts.select("key", F.lit(True).alias("twice"))
-    found = cut(_occurrences(docs, width, hot).join(known, "key", "left").where("hot OR twice").drop("hot", "twice"), "substrings-segments")
+    found = cut(_occurrences(slim, width, hot).join(known, "key", "left").where("hot OR twice").drop("hot", "twice"), "substrings-segments")
     classes = cut(found.groupBy("key", "content", "size").agg(F.min(F.struct("doc", "start", "version")).alias("at"), F.count(F.lit(1)).alias("n")), "substrings-classes")
     words = classes.agg(F.sum(F.col("size") + width)).first()[0] or 0
     texts = _texts(docs, classes, width, max(1, -(-int(words) // SHARD_WORDS)))
-    firsts = cut(_first_starts(texts, width), "substrings-firsts")
+    firsts = _first_starts(texts, width)
     hit = found.join(firsts, ["key", "content", "size"]).where("NOT (first = doc AND shift = start)")
     span = F.struct((F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + width).alias("e"))
     return hit.groupBy("doc", "version").agg(F.array_sort(F.collect_set(span)).alias("spans"))
@@ -264,10 +279,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id:
     """
     df = without(docs, "n_words", "n_removed", "removed", "kept_text")
     t = F.col(f"`{text}`")
-    keyed = df.withColumns({"_doc": _order(F.col(f"`{doc_id}`")), "_version": F.hash(t)})
-    slim = keyed.select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), t.alias("t"))
-    spans = repeated_windows(slim, width).select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
-    joined = keyed.join(spans, ["_doc", "_version"], "left").select(*[F.col(f"`{c}`") for c in df.columns], "_spans")
+    others = [c for c in df.columns if c != text]
+    moved = df.select(_order(F.col(f"`{doc_id}`")).alias("doc"), F.hash(t).alias("version"), t.alias("t"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
+    joined = moved.join(repeated_windows(moved, width), ["doc", "version"], "left").select(*[F.col("t" if c == text else f"_{others.index(c)}").alias(c) for c in df.columns], F.col("spans").alias("_spans"))
     names = df.columns
     k = names.index(text)
     span = T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
