@@ -1,6 +1,8 @@
 """Calendar evidence and look-ups, quoted replies, largest events: nulls, ties, repeated rows, empty tables."""
 
 import datetime as dt
+import itertools
+import re
 
 from pyspark.sql import functions as F
 
@@ -69,6 +71,35 @@ def test_appointment_pairs_are_not_dealt_out_again(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 7, 0, "exact_start", "low", ["cancelled", "title_matched"]), (1, 8, 800, "within_tolerance", "low", ["declined", "title_mismatch"])]
 
 
+def test_appointment_pairs_are_dealt_out_and_judged_without_lists(spark):
+    statuses, responses = (None, "cancelled", "tentative", "confirmed"), (None, "declined", "accepted")
+    titles, summaries = (None, "", "One", "two words", "é-X x"), (None, "", "one two", "WORDS", "x", "none of these")
+    probes = spark.createDataFrame([(i, 1000 + 700 * i, t) for i, t in enumerate(titles)], "probe long, start long, title string")
+    entries = [(i, 200 + 37 * i, *e) for i, e in enumerate(itertools.product(statuses, responses, summaries))]
+    cal = spark.createDataFrame(entries, "instance long, start long, status string, response string, summary string")
+    words = lambda text: {w for w in re.split(r"[\W_]+", (text or "").lower()) if w}
+
+    def plain(stale):
+        for (p, title), (i, start, status, response, summary) in itertools.product(enumerate(titles), entries):
+            delta, hinted, matched = start - 1000 - 700 * p, bool(words(title)), bool(words(title) & words(summary))
+            if abs(delta) > 1000:
+                continue
+            capped = stale or status == "cancelled" or response == "declined"
+            level = 0 if capped else max(0, (2 if abs(delta) <= 900 else 1) - (hinted and not matched))
+            told = [status] * (status in ("cancelled", "tentative")) + ["declined"] * (response == "declined") + [["title_mismatch", "title_matched"][matched]] * hinted + ["stale_index"] * stale
+            yield p, i, delta, "within_tolerance" if delta else "exact_start", ["low", "medium", "high"][level], told
+
+    for stale in (False, True):
+        got = intervals.appointment_matches(probes, cal, 1000, stale)
+        assert sorted(map(tuple, got.collect())) == sorted(plain(stale))
+        texts = intervals.appointment_matches(probes, cal, 1000, stale, joined=",")
+        assert sorted(map(tuple, texts.collect())) == sorted((*r[:-1], ",".join(r[-1])) for r in plain(stale))
+    # as many tasks whatever the tables' size, and nothing interpreted on pairs
+    assert texts.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    above = texts._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "lambda" not in above and "array_join" not in above
+
+
 def test_calendar_look_ups(spark):
     rows = [("c", "e", "i1", 10, "Team lunch", "confirmed", None), ("c", "e", "i2", 20, "Team lunch", "cancelled", None), ("d", "f", "i3", 20, "Lunch team", None, "declined"), ("d", "f", "i4", 20, None, "confirmed", None)]
     o = spark.createDataFrame(rows, "calendar_id string, event_id string, instance_id string, order_ts long, summary string, status string, self_response_status string")
