@@ -131,3 +131,57 @@ def test_paths_of_distinct_pairs_are_counted_as_all_decisions(monkeypatch):
         met.flush()
         assert (met.table == plain).all() and sum(map(len, steps)) < decisions
         steps.clear()
+
+
+def test_first_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(["the", "of", f"w{rng.integers(40)}", f"x{rng.integers(900)}"][rng.integers(4)] for _ in range(rng.integers(1, 120))) for _ in range(240)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(L, "NEAR", 1e-4)
+    given, fits = [], []
+    monkeypatch.setattr(L, "fit_all", lambda *a, real=L.fit_all: given.append(a) or fits.append(real(*a)) or fits[-1])
+    for most in (400, 2, 0):
+        monkeypatch.setattr(L, "FIT_DOCS", most)
+        L.score_texts(df).count()
+    # where the steps begin makes no difference
+    assert not np.allclose(given[0][-1][0], given[1][-1][0], atol=0.01)
+    for fit in fits[1:]:
+        assert all(np.allclose(a, b, atol=2e-3) for a, b in zip(fits[0], fit, strict=True))
+    # and they are those of all decisions of all training texts
+    train, _, shared, blobs, _ = given[0]
+    code, tables = shared.value, L.LeftOut(blobs).tables()
+    plain = [L.Bits(code, [L.tokens_of(r["t"])], learn=True) for r in train.collect()]
+    slots = np.unique(np.concatenate([L.slots_of(b) for b in plain]))
+    seen = L.slot_logits(iter(blobs), slots)[1]
+    x, y = (np.concatenate(c) for c in zip(*[L.one_out(b, slots, seen) for b in plain], strict=True))
+    bit, row, lbit = (np.concatenate([getattr(b, c) for b in plain]) for c in ("bit", "row", "lbit"))
+    of_tables = np.stack([tables[np.concatenate([b.at[k] for b in plain]) + bit.astype(int) * int(L.BASE[-1])] for k in range(3)], 1)
+    assert np.allclose(x, of_tables, atol=1e-4)
+    want = [L._fitted(x, bit, row % L.GATES, L.GATES), L._fitted(y, lbit, (y != 0).sum(1), L.LETTER_GATES)]
+    assert all(np.allclose(a, b, atol=5e-3) for a, b in zip(fits[0], want, strict=True))
+
+
+def test_slopes_of_distinct_contexts_are_those_of_all_decisions(monkeypatch):
+    code = L.Code([b"\n", b"the", b"of", *(b"w%d" % i for i in range(300))], [90, 80, 60, *([3] * 200), *([1] * 100)], 70)
+    rng = np.random.default_rng(7)
+    texts = [[[b"the", b"of", b"w%d" % rng.integers(400)][rng.integers(3)] for _ in range(rng.integers(1, 900))] for _ in range(9)] + [[]]
+    tables = rng.normal(0, 1, 2 * int(L.BASE[-1])).astype(np.float32)
+    start = [rng.normal(0.3, 0.1, (L.GATES, 4)), rng.normal(0.2, 0.1, (L.LETTER_GATES, len(L.LETTERS) + 1))]
+    b = L.Bits(code, texts, learn=True)
+    want = []
+    for at, bit, row, w in ((b.at, b.bit, b.row % L.GATES, start[0]), (b.lat, b.lbit, None, start[1])):
+        x = np.stack([*(tables[a + bit.astype(int) * int(L.BASE[-1])] for a in at), np.ones(len(bit))]).astype(np.float64)
+        row = (x[:-1] != 0).sum(0) if row is None else row
+        p = 1 / (1 + np.exp(-(w[row].T * x).sum(0)))
+        want.append(np.stack([np.vstack([(x[:, row == g] * (p * (1 - p))[row == g]) @ x[:, row == g].T, x[:, row == g] @ (p - bit)[row == g]]) for g in range(len(w))]))
+    spelled = [w for t in texts for w in t if code.index.get(w, code.spelled) == code.spelled or code.shy[code.index[w]]]
+    for held, parts in ((10**9, [texts]), (700, [texts[:4], texts[4:]])):
+        monkeypatch.setattr(L, "HELD", held)
+        got = L.Pulls(code, tables, start)
+        for p in parts:
+            for t in L.stretches(code, p, True, L.Tokens):
+                got.add(t)
+        words = sorted(set(spelled))
+        got.spell(words, [spelled.count(w) for w in words])
+        assert got.rows().num_rows == sum(s.size for s in got.sums)
+        assert all(np.allclose(a, b, rtol=1e-3, atol=0.05) for a, b in zip(got.sums, want, strict=True))
